@@ -1,8 +1,9 @@
 """Neighbour rows in a long history, safe when one key holds much of the table.
 
-A window over a whole key puts that key in one task.  Here a key's history is cut
-into segments (hours, days, batches) that follow its order; rows look back inside
-their segment, and only each segment's last row is carried over the boundary.
+A window over a whole key puts that key in one task.  Ordinary keys are handled that
+way; a key holding a large share of the rows is cut into segments (days, batches)
+that follow its order: rows look back inside their segment, and only each segment's
+last row is carried over the boundary.
 """
 
 from __future__ import annotations
@@ -12,22 +13,54 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: A key is hot above this many rows and above this share of all rows.
+HOT_ROWS = 100_000
+HOT_SHARE = 20_000
+
+
+def hot_keys(rows: DataFrame, key: Sequence[str], floor: int = HOT_ROWS, share: int = HOT_SHARE) -> DataFrame:
+    """Keys with more than ``floor`` rows and more than 1/``share`` of all rows.
+
+    By arithmetic there are fewer than ``share`` of them, whatever the table size: that is
+    the bound on which broadcasting the result rests.
+    """
+    total = rows.agg(F.count(F.lit(1))).scalar()
+    sizes = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_rows"))
+    large = F.col("_rows") > F.greatest(F.lit(floor).cast("double"), total / F.lit(float(share)))
+    return sizes.filter(large).select(*key, F.lit(True).alias("_hot"))
+
 
 def with_previous(
-    rows: DataFrame, key: Sequence[str], order: Sequence[str], segment: Column, value: Column, name: str = "previous"
+    rows: DataFrame,
+    key: Sequence[str],
+    order: Sequence[str],
+    segment: Column,
+    value: Column,
+    name: str = "previous",
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``name``: ``value`` of the row before in (key, order), null at the start.
 
-    ``segment`` must never decrease along ``order``.  The large table is shuffled once,
-    by (key, segment); the join back reuses that layout.
+    ``segment`` must never decrease along ``order``.  ``hot`` may name the hot keys when the
+    caller has them already; keys are not null.  The table is shuffled once, by (key, segment),
+    and the join with the carried rows keeps that layout.
     """
-    cut = rows.withColumns({"_segment": segment, "_value": value})
+    hot = F.broadcast(hot_keys(rows, key) if hot is None else hot)
+    cut = rows.join(hot, list(key), "left").withColumns(
+        {"_segment": F.when(F.col("_hot"), segment), "_value": value}
+    )
     place = [*key, "_segment"]
     inside = Window.partitionBy(*place).orderBy(*order)
     local = cut.withColumns({"_before": F.lag("_value").over(inside), "_nth": F.row_number().over(inside)})
-    tails = cut.groupBy(*place).agg(F.max_by("_value", F.struct(*order)).alias("_tail"))
+
+    tails = (
+        rows.join(hot, list(key), "left_semi")
+        .withColumns({"_segment": segment, "_value": value})
+        .groupBy(*place)
+        .agg(F.max_by("_value", F.struct(*order)).alias("_tail"))
+    )
     across = Window.partitionBy(*key).orderBy("_segment")
     carried = tails.select(*place, F.lag("_tail").over(across).alias("_carried"))
-    joined = local.join(carried, place)
+    joined = local.join(carried, place, "left")
     previous = F.when(F.col("_nth") == 1, F.col("_carried")).otherwise(F.col("_before"))
-    return joined.withColumn(name, previous).drop("_segment", "_value", "_before", "_nth", "_carried")
+    return joined.withColumn(name, previous).drop("_segment", "_value", "_before", "_nth", "_carried", "_hot")

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from lotwise.functions.display import iso_text
 from lotwise.functions.quality import is_publishable
-from lotwise.operators.ordered import with_previous
+from lotwise.operators.ordered import hot_keys, with_previous
 from lotwise.schemas import CONTENT_FIELDS, CONTENT_NAMES, TRACKED_FIELDS
 
 KEY = ("source_id", "external_id")
@@ -21,17 +21,8 @@ def as_text(name: str, kind: T.DataType) -> Column:
 
 def fingerprint(fields: tuple[tuple[str, T.DataType], ...] = CONTENT_FIELDS) -> Column:
     """sha256 over the content fields as sorted JSON text; confidence and payload stay out."""
-
-    def quoted(text: Column) -> Column:
-        for raw, escaped in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
-            text = F.replace(text, F.lit(raw), F.lit(escaped))
-        return F.concat(F.lit('"'), text, F.lit('"'))
-
-    members = [
-        F.concat(F.lit(f'"{name}": '), F.coalesce(quoted(as_text(name, kind)), F.lit("null")))
-        for name, kind in sorted(fields, key=lambda f: f[0])
-    ]
-    return F.sha2(F.concat(F.lit("{"), F.concat_ws(", ", *members), F.lit("}")), 256)
+    texts = [as_text(name, kind).alias(name) for name, kind in sorted(fields, key=lambda f: f[0])]
+    return F.sha2(F.to_json(F.struct(*texts), {"ignoreNullFields": "false"}), 256)
 
 
 def with_fingerprint(parsed: DataFrame) -> DataFrame:
@@ -67,8 +58,8 @@ def _versions_per_segment() -> Column:
     return F.floor(F.col("seq") / 10_000)
 
 
-def _with_actions(timeline: DataFrame, segment: Column) -> DataFrame:
-    marked = with_previous(timeline, KEY, ("seq",), segment, F.struct("content_hash"))
+def _with_actions(timeline: DataFrame, segment: Column, hot: DataFrame) -> DataFrame:
+    marked = with_previous(timeline, KEY, ("seq",), segment, F.struct("content_hash"), hot=hot)
     action = (
         F.when(F.col("seq") == 0, "stored")
         .when(F.col("previous").isNull(), "created")
@@ -78,9 +69,20 @@ def _with_actions(timeline: DataFrame, segment: Column) -> DataFrame:
     return marked.withColumn("action", action).drop("previous")
 
 
-def merge_listings(stored: DataFrame, parsed: DataFrame, segment: Column | None = None) -> DataFrame:
-    """Parsed rows with the action each one causes: created, updated or unchanged."""
-    return _with_actions(_timeline(stored, parsed), _versions_per_segment() if segment is None else segment)
+def merge_listings(
+    stored: DataFrame, parsed: DataFrame, segment: Column | None = None, hot: DataFrame | None = None
+) -> DataFrame:
+    """Stored rows and parsed versions with the action each version causes: created, updated or unchanged.
+
+    Write the result to a table when both the snapshot and the revisions are wanted.
+    """
+    segment = _versions_per_segment() if segment is None else segment
+    return _with_actions(_timeline(stored, parsed), segment, busy_listings(parsed) if hot is None else hot)
+
+
+def busy_listings(parsed: DataFrame) -> DataFrame:
+    """Listings holding a large share of a batch's versions; stored rows add one each and cannot."""
+    return hot_keys(parsed, KEY)
 
 
 def snapshot(actions: DataFrame) -> DataFrame:
@@ -116,11 +118,11 @@ def snapshot(actions: DataFrame) -> DataFrame:
     )
 
 
-def revisions(actions: DataFrame, segment: Column | None = None) -> DataFrame:
+def revisions(actions: DataFrame, segment: Column | None = None, hot: DataFrame | None = None) -> DataFrame:
     """One row per tracked field that an update changed, old and new as text.
 
     Only rows that changed the state are compared, so the usual unchanged majority is
-    dropped before the look back.
+    dropped before the look back.  Pass the batch's ``busy_listings`` as ``hot`` to spare a count.
     """
     kinds = dict(CONTENT_FIELDS)
     effective = actions.filter(F.col("action") != "unchanged").withColumn(
@@ -128,7 +130,7 @@ def revisions(actions: DataFrame, segment: Column | None = None) -> DataFrame:
     )
     before = F.struct("texts", "id")
     linked = with_previous(
-        effective, KEY, ("seq",), _versions_per_segment() if segment is None else segment, before, name="before"
+        effective, KEY, ("seq",), _versions_per_segment() if segment is None else segment, before, "before", hot
     ).filter(F.col("action") == "updated")
     changes = F.filter(
         F.array(

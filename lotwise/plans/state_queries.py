@@ -321,8 +321,8 @@ def _quoted_sql(text: str) -> str:
 
 HASH_SQL = (
     "sha256('{' || "
-    + " || ', ' || ".join(
-        f"""'"{name}": ' || coalesce({_quoted_sql(_text_sql(name, kind))}, 'null')"""
+    + " || ',' || ".join(
+        f"""'"{name}":' || coalesce({_quoted_sql(_text_sql(name, kind))}, 'null')"""
         for name, kind in sorted(CONTENT_FIELDS, key=lambda field: field[0])
     )
     + " || '}')"
@@ -338,6 +338,11 @@ MERGE = f"""{given(stored=STORED, parsed=PARSED)},
  eff AS (SELECT * FROM acted WHERE action <> 'unchanged')"""
 
 
+def _revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    busy = upsert.busy_listings(relation(spark, sf_dir, PARSED))
+    return upsert.revisions(_actions(spark, sf_dir), hot=busy)
+
+
 def _actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     empty: dict[str, Column] = {
         "quality_flags": F.lit(None).cast("array<string>"),
@@ -391,7 +396,7 @@ REVISED = f"""{MERGE}, told AS (SELECT source_id, external_id, seq, action, seen
     f"{REVISED} SELECT source_id, external_id, seq, {stamp_sql('seen_at', 'changed_at')}, field_name, old_value, new_value FROM rev",
 )
 def revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    history = upsert.revisions(_actions(spark, sf_dir))
+    history = _revisions(spark, sf_dir)
     return history.withColumn("changed_at", stamp("changed_at")).drop("source_document_id")
 
 
@@ -402,7 +407,7 @@ def revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     AND CAST(old_value AS DOUBLE) <> 0 AND CAST(new_value AS DOUBLE) <> 0""",
 )
 def reserve_direction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    moves = upsert.reserve_direction(upsert.revisions(_actions(spark, sf_dir)))
+    moves = upsert.reserve_direction(_revisions(spark, sf_dir))
     return moves.select("source_id", "external_id", "seq", "direction")
 
 
@@ -412,7 +417,7 @@ def reserve_direction(spark: SparkSession, sf_dir: str) -> DataFrame:
     JOIN rev ON rev.source_id = listings.source_id AND rev.external_id = listings.external_id""",
 )
 def listing_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    history = upsert.revisions(_actions(spark, sf_dir))
+    history = _revisions(spark, sf_dir)
     known = listings(spark, sf_dir).select("id", "title", "source_id", "external_id")
     joined = upsert.revisions_of(known, history)
     return joined.select(F.col("id").alias("listing_id"), "title", "seq", "field_name", "new_value")
