@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lotwise.functions.money import price_change
-from lotwise.operators.ordered import with_previous
+from lotwise.operators.ordered import hot_keys, with_previous
 
 # Thresholds of the verdict and weights of the asset's attributes.
 DUPLICATE_FROM = 0.85
@@ -40,6 +40,9 @@ STOP_WORDS = (
 KEY_KINDS = ("asset", "geo", "pin", "pinprice", "addr")
 #: Profiles of one key handled by one join task on each side.
 CELL_ROWS = 4_000
+#: No more keys than this are split, which bounds the broadcast list of split keys; on tables so
+#: large that it binds, the least split key still has under one millionth of all key rows.
+MOST_SPLIT_KEYS = 1_000_000
 
 _COMPARED = (
     "asset_class", "asset_key", "state", "city", "pincode", "area_sqft", "reserve_price",
@@ -136,53 +139,66 @@ def _both(a: str, b: str, name: str) -> Column:
     return F.col(f"{a}.{name}").isNotNull() & F.col(f"{b}.{name}").isNotNull()
 
 
-def similarity(a: str = "a", b: str = "b") -> tuple[Column, Column]:
-    """(score, reasons) that two rows aliased ``a`` and ``b`` describe one asset.
+def with_similarity(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """Add ``score`` and ``reasons``: how likely the rows aliased ``a`` and ``b`` are one asset.
 
     Price and date are left out on purpose: they differ between rounds of one asset.
     An equal price only adds.  No address overlap drops the address from the mean.
+    The set overlaps are worked out once per pair.
     """
 
     def col(side: str, name: str) -> Column:
         return F.col(f"{side}.{name}")
 
-    address = token_similarity(col(a, "address_words"), col(b, "address_words"))
     area_a, area_b = col(a, "area_sqft").cast("double"), col(b, "area_sqft").cast("double")
     nearness = F.greatest(F.lit(0.0), F.lit(1.0) - F.abs(area_a - area_b) / F.greatest(area_a, area_b) * 5)
     same_city = F.when(F.lower(col(a, "city")) == F.lower(col(b, "city")), 1.0).otherwise(0.0)
     same_pin = F.when(col(a, "pincode") == col(b, "pincode"), 1.0).otherwise(0.0)
+    both_localities = col(a, "has_locality") & col(b, "has_locality")
+    overlap = F.struct(
+        token_similarity(col(a, "address_words"), col(b, "address_words")).alias("_overlap"),
+        F.when(both_localities, token_similarity(col(a, "locality_words"), col(b, "locality_words"))).alias("_locality"),
+    )
+    # A one-row inline keeps the overlaps from being copied into every later use of them:
+    # a filter on the score would otherwise be pushed down with the whole formula unfolded.
+    overlaps = pairs.select("*", F.inline(F.array(overlap)))
     parts = {
-        "address": F.when(address > 0, address),
+        "address": F.when(F.col("_overlap") > 0, F.col("_overlap")),
         "area": F.when((area_a != 0) & (area_b != 0), nearness),
-        "locality": F.when(
-            col(a, "has_locality") & col(b, "has_locality"),
-            token_similarity(col(a, "locality_words"), col(b, "locality_words")),
-        ),
+        "locality": F.col("_locality"),
         "city": F.when(_both(a, b, "city"), same_city),
         "pincode": F.when(_both(a, b, "pincode"), same_pin),
     }
-    gained = reduce(lambda x, y: x + y, [F.coalesce(p * F.lit(WEIGHTS[n]), F.lit(0.0)) for n, p in parts.items()])
-    weight = reduce(
-        lambda x, y: x + y, [F.when(p.isNotNull(), F.lit(WEIGHTS[n])).otherwise(F.lit(0.0)) for n, p in parts.items()]
+    measured = overlaps.withColumns({f"_{name}_part": part for name, part in parts.items()})
+    named = [(F.col(f"_{name}_part"), F.lit(WEIGHTS[name])) for name in parts]
+    gained = reduce(lambda x, y: x + y, [F.coalesce(part * weight, F.lit(0.0)) for part, weight in named])
+    weighed = reduce(
+        lambda x, y: x + y, [F.when(part.isNotNull(), weight).otherwise(F.lit(0.0)) for part, weight in named]
     )
-    mean = F.when(weight > 0, gained / F.nullif(weight, F.lit(0.0)))
     price_a, price_b = col(a, "reserve_price"), col(b, "reserve_price")
-    same_price = F.coalesce(mean.isNotNull() & (price_a != 0) & (price_a == price_b), F.lit(False))
-    same_asset = F.coalesce(col(a, "asset_key") == col(b, "asset_key"), F.lit(False))
+    averaged = measured.withColumns(
+        {
+            "_mean": gained / F.nullif(weighed, F.lit(0.0)),
+            "_same_price": F.coalesce((price_a != 0) & (price_a == price_b), F.lit(False)),
+            "_same_asset": F.coalesce(col(a, "asset_key") == col(b, "asset_key"), F.lit(False)),
+        }
+    )
+    mean = F.col("_mean")
+    lifted = F.col("_same_price") & mean.isNotNull()
     score = (
-        F.when(same_asset, 1.0)
-        .when(same_price, F.least(F.lit(1.0), mean + F.lit(SAME_PRICE_BONUS)))
+        F.when(F.col("_same_asset"), 1.0)
+        .when(lifted, F.least(F.lit(1.0), mean + F.lit(SAME_PRICE_BONUS)))
         .otherwise(F.coalesce(mean, F.lit(0.0)))
     )
-    reasons = F.when(same_asset, F.array(F.lit("identical asset identifier"))).otherwise(
+    reasons = F.when(F.col("_same_asset"), F.array(F.lit("identical asset identifier"))).otherwise(
         F.array_compact(
             F.array(
-                F.when(parts["address"] > NEAR_IDENTICAL_ADDRESS, "near-identical address"),
-                F.when(same_price, "identical reserve price"),
+                F.when(F.col("_overlap") > NEAR_IDENTICAL_ADDRESS, "near-identical address"),
+                F.when(lifted, "identical reserve price"),
             )
         )
     )
-    return score, reasons
+    return averaged.withColumns({"score": score, "reasons": reasons})
 
 
 def _a_is_earlier(a: str, b: str, id_name: str) -> Column:
@@ -226,16 +242,15 @@ def _spread(folded: DataFrame, cell_rows: int) -> DataFrame:
     """One row per (profile, key) with the number of slices its key is cut into."""
     kinds = F.array(*[F.col(f"k{i}") for i in range(len(KEY_KINDS))])
     keyed = folded.select("*", F.posexplode(kinds).alias("kind", "key")).filter(F.col("key").isNotNull())
-    # Only keys over the cell size are kept here; everything else stays in one cell.
-    hot = (
-        folded.select("asset_class", F.explode(F.array_compact(kinds)).alias("key"))
-        .groupBy("asset_class", "key")
-        .agg(F.count(F.lit(1)).alias("rows_of_key"))
-        .filter(F.col("rows_of_key") > cell_rows)
-        .select("asset_class", "key", F.ceil(F.col("rows_of_key") / cell_rows).cast("int").alias("slices"))
+    spread = folded.select("asset_class", F.explode(F.array_compact(kinds)).alias("key"))
+    hot = F.broadcast(hot_keys(spread, ("asset_class", "key"), cell_rows, MOST_SPLIT_KEYS))
+    joined = keyed.join(hot, ["asset_class", "key"], "left")
+    slices = F.coalesce(F.ceil(F.col("_rows") / cell_rows).cast("int"), F.lit(1))
+    return (
+        joined.withColumn("slices", slices)
+        .withColumn("slice", F.pmod(F.xxhash64("profile_id"), F.col("slices")).cast("int"))
+        .drop("_rows")
     )
-    joined = keyed.join(hot, ["asset_class", "key"], "left").withColumn("slices", F.coalesce("slices", F.lit(1)))
-    return joined.withColumn("slice", F.pmod(F.xxhash64("profile_id"), F.col("slices")).cast("int"))
 
 
 def candidate_pairs(folded: DataFrame, cell_rows: int = CELL_ROWS) -> DataFrame:
@@ -285,9 +300,8 @@ def _pair_counts() -> tuple[Column, Column]:
 
 def scored_pairs(folded: DataFrame, cell_rows: int = CELL_ROWS, keep_distinct: bool = False) -> DataFrame:
     """Verdict per profile pair: earlier and later profile, listing pairs, relationship, score, reasons."""
-    score, reasons = similarity()
     every, leading = _pair_counts()
-    pairs = candidate_pairs(folded, cell_rows).withColumn("score", score)
+    pairs = with_similarity(candidate_pairs(folded, cell_rows))
     if not keep_distinct:
         pairs = pairs.filter(F.col("score") >= REVIEW_FROM)
     relationship, extra = verdict(F.col("score"))
@@ -299,10 +313,15 @@ def scored_pairs(folded: DataFrame, cell_rows: int = CELL_ROWS, keep_distinct: b
         leading.alias("leading_pairs"),
         relationship.alias("relationship"),
         "score",
-        F.when(extra.isNotNull(), F.array_append(reasons, extra)).otherwise(reasons).alias("reasons"),
+        _all_reasons(extra),
     )
 
 
+def _all_reasons(extra: Column) -> Column:
+    told = F.col("reasons")
+    return F.when(extra.isNotNull(), F.array_append(told, extra)).otherwise(told).alias("reasons")
+
+
 def find_for(listings: DataFrame, listing_id: int) -> DataFrame:
     """Ranked matches of one listing that are not distinct.
 
@@ -315,18 +334,11 @@ def find_for(listings: DataFrame, listing_id: int) -> DataFrame:
         lambda x, y: x | y, [F.col(f"a.k{i}") == F.col(f"b.k{i}") for i in range(len(KEY_KINDS))]
     )
     met = (F.col("a.asset_class") == F.col("b.asset_class")) & (F.col("a.id") != F.col("b.id")) & shares
-    score, reasons = similarity()
     relationship, extra = verdict(F.col("score"))
     return (
-        b.join(a, met)
-        .withColumn("score", score)
+        with_similarity(b.join(a, met))
         .filter(F.col("score") >= REVIEW_FROM)
-        .select(
-            F.col("b.id").alias("other_id"),
-            relationship.alias("relationship"),
-            "score",
-            F.when(extra.isNotNull(), F.array_append(reasons, extra)).otherwise(reasons).alias("reasons"),
-        )
+        .select(F.col("b.id").alias("other_id"), relationship.alias("relationship"), "score", _all_reasons(extra))
         .orderBy(F.col("score").desc(), F.col("other_id"))
     )
 
@@ -355,10 +367,7 @@ def tally(pairs: DataFrame) -> DataFrame:
 
 
 def rank_matches(pairs: DataFrame) -> DataFrame:
-    """Matches seen from each side, best first, without ranking inside a side's group.
-
-    ``place`` would need a window per listing; the order is carried by the score instead.
-    """
+    """Matches seen from each side; order by score where one listing's list is wanted."""
     seen = F.explode(
         F.array(
             F.struct(F.col("earlier_id").alias("id"), F.col("later_id").alias("other_id")),

@@ -19,7 +19,7 @@ HOT_SHARE = 20_000
 
 
 def hot_keys(rows: DataFrame, key: Sequence[str], floor: int = HOT_ROWS, share: int = HOT_SHARE) -> DataFrame:
-    """Keys with more than ``floor`` rows and more than 1/``share`` of all rows.
+    """Keys with more than ``floor`` rows and more than 1/``share`` of all rows, and their ``_rows``.
 
     By arithmetic there are fewer than ``share`` of them, whatever the table size: that is
     the bound on which broadcasting the result rests.
@@ -27,7 +27,7 @@ def hot_keys(rows: DataFrame, key: Sequence[str], floor: int = HOT_ROWS, share:
     total = rows.agg(F.count(F.lit(1))).scalar()
     sizes = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_rows"))
     large = F.col("_rows") > F.greatest(F.lit(floor).cast("double"), total / F.lit(float(share)))
-    return sizes.filter(large).select(*key, F.lit(True).alias("_hot"))
+    return sizes.filter(large)
 
 
 def with_previous(
@@ -47,7 +47,7 @@ def with_previous(
     """
     hot = F.broadcast(hot_keys(rows, key) if hot is None else hot)
     cut = rows.join(hot, list(key), "left").withColumns(
-        {"_segment": F.when(F.col("_hot"), segment), "_value": value}
+        {"_segment": F.when(F.col("_rows").isNotNull(), segment), "_value": value}
     )
     place = [*key, "_segment"]
     inside = Window.partitionBy(*place).orderBy(*order)
@@ -63,4 +63,4 @@ def with_previous(
     carried = tails.select(*place, F.lag("_tail").over(across).alias("_carried"))
     joined = local.join(carried, place, "left")
     previous = F.when(F.col("_nth") == 1, F.col("_carried")).otherwise(F.col("_before"))
-    return joined.withColumn(name, previous).drop("_segment", "_value", "_before", "_nth", "_carried", "_hot")
+    return joined.withColumn(name, previous).drop("_segment", "_value", "_before", "_nth", "_carried", "_rows")
