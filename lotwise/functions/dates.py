@@ -111,7 +111,9 @@ def parse_iso_utc(value: Column) -> Column:
     text = F.regexp_replace(F.trim(value), ",", ".")
     shape = r"^\d{4}-\d{2}-\d{2}(?:[T ]\d{2}:\d{2}(?::\d{2}(?:\.\d+)?)?(?:Z|[+-]\d{2}:?\d{2})?)?$"
     zone = r"(?:Z|[+-]\d{2}:?\d{2})$"
-    with_clock = F.when(F.length(text) == 10, F.concat(text, F.lit("T00:00"))).otherwise(text)
+    with_clock = F.when(F.length(text) == 10, F.concat(text, F.lit("T00:00:00"))).otherwise(
+        F.regexp_replace(text, r"^(.{10}[T ]\d{2}:\d{2})($|Z|[+-])", "$1:00$2")
+    )
     offset = F.regexp_replace(with_clock, r"([+-]\d{2})(\d{2})$", "$1:$2")
     zoned = F.when(F.length(text) == 10, F.concat(with_clock, F.lit("Z"))).otherwise(
         F.when(text.rlike(zone), offset).otherwise(F.concat(with_clock, F.lit("Z")))
