@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lotwise.functions import area, dates, display, geo, money, quality, text
 from lotwise.plans.catalogue import query
 from lotwise.plans.relations import CLOCK, LISTINGS, clock, given, listings, relation, stamp, stamp_sql, table
-from lotwise.plans.search_queries import inr_sql
+from lotwise.plans.search_queries import half_even, inr_sql
 from lotwise.sources import fields, property, vehicle
 
 L = given(listings=LISTINGS)
@@ -54,7 +54,6 @@ _column_query(
     lambda: money.parse_inr(F.col("x")).cast("double"),
     f"""round(CAST(nullif(replace(regexp_extract({_CLEAN}, '[0-9][0-9,]*(?:\\.[0-9]+)?'), ',', ''), '') AS DOUBLE) * ({_FACTOR}), 2)""",
 )
-PRICES = f"SELECT id, reserve_price * CAST(id % 3 AS DECIMAL(2,0)) / 900 AS p, reserve_price, emd_amount FROM ({LISTINGS}) AS l"
 PRICES = f"""SELECT id, CASE id % 4 WHEN 0 THEN CAST(id % 20000 AS DECIMAL(18,2)) WHEN 1 THEN CAST(1000000 AS DECIMAL(18,2)) * 1000001
   ELSE reserve_price END AS p, reserve_price, emd_amount FROM ({LISTINGS}) AS l"""
 _column_query(
@@ -253,9 +252,7 @@ NAMES = """SELECT c_custkey AS id, CASE c_custkey % 8
   WHEN 2 THEN 'N/A' WHEN 3 THEN ' - ' WHEN 4 THEN upper(c_mktsegment) || ' COLONY NO. ' || CAST(c_custkey % 99 AS VARCHAR(20))
   WHEN 5 THEN 'Plot ' || c_name || ', PIN 4000' || CAST(10 + c_custkey % 90 AS VARCHAR(20)) || ' Mumbai'
   WHEN 6 THEN 'Pin 4 0 0 0 5 ' || CAST(c_custkey % 10 AS VARCHAR(20)) ELSE c_mktsegment END AS x FROM {customer}"""
-CLEANED = """btrim_(regexp_replace(replace(x, 'â€“', '-'), '\\s+', ' ', 'g'))""".replace("btrim_(", "trim(").replace(
-    "' ', 'g'))", "' ', 'g'), ' ,;:-')"
-)
+CLEANED = "trim(regexp_replace(replace(x, 'â€“', '-'), '\\s+', ' ', 'g'), ' ,;:-')"
 CLEAN_SQL = f"CASE WHEN {CLEANED} = '' OR lower({CLEANED}) IN ('null','none','n/a','na','-','nil') THEN NULL ELSE {CLEANED} END"
 _ACRONYMS = ", ".join(f"'{word}'" for word in text.ACRONYMS)
 
@@ -376,11 +373,13 @@ _PICK = "CASE WHEN id % 3 = 2 THEN 1 WHEN id % 2 = 0 THEN 2 ELSE 3 END"
 _UNIT = f"CASE WHEN {_PICK} = 3 THEN 'sqyard' ELSE CASE id % 4 WHEN 0 THEN 'sqmt' WHEN 1 THEN 'bigha' ELSE 'cents' END END"
 
 
+_PARTS = "(CAST(area_value AS BIGINT) * CASE area_unit WHEN 'sqmt' THEN 107639 WHEN 'cents' THEN 4356000 WHEN 'sqyard' THEN 90000 END)"
+
+
 @query(
     "g23_chosen_area",
     f"""{given(src=SIZES)}, c AS (SELECT id, CAST(p_size * {_PICK} AS DOUBLE) AS area_value, {_UNIT} AS area_unit FROM src)
-    SELECT id, area_value, area_unit, round(area_value * CASE area_unit WHEN 'sqmt' THEN 10.7639 WHEN 'cents' THEN 435.6 WHEN 'sqyard' THEN 9 END, 2)
-    AS area_sqft FROM c""",
+    SELECT id, area_value, area_unit, CAST({half_even(_PARTS, 100)} AS DOUBLE) / 100 AS area_sqft FROM c""",
 )
 def chosen_area(spark: SparkSession, sf_dir: str) -> DataFrame:
     record = F.concat(

@@ -96,7 +96,7 @@ def get_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.get_listing(listings(spark, sf_dir), 11).select(*ROW)
 
 
-def _half_even(paise: str, step: int) -> str:
+def half_even(paise: str, step: int) -> str:
     """Whole steps in an amount of paise, half to even, in whole numbers throughout."""
     return (
         f"({paise} // {step} + CASE WHEN ({paise} % {step}) * 2 > {step} OR (({paise} % {step}) * 2 = {step} "
@@ -109,12 +109,12 @@ def inr_sql(column: str) -> str:
     paise = f"CAST({column} * 100 AS BIGINT)"
 
     def scaled(rupees: int, name: str) -> str:
-        n = _half_even(paise, rupees)
+        n = half_even(paise, rupees)
         return f"'Rs ' || CAST({n} // 100 AS VARCHAR) || '.' || lpad(CAST({n} % 100 AS VARCHAR), 2, '0') || ' {name}'"
 
     return f"""CASE WHEN {column} IS NULL THEN '-' WHEN {column} >= 10000000 THEN {scaled(10_000_000, 'Cr')}
   WHEN {column} >= 100000 THEN {scaled(100_000, 'L')}
-  ELSE 'Rs ' || format('{{:,}}', {_half_even(paise, 100)}) END"""
+  ELSE 'Rs ' || format('{{:,}}', {half_even(paise, 100)}) END"""
 
 
 def _iso_sql(column: str) -> str:
