@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lotwise.functions.text import let
+
 # Square feet in one unit.
 SQUARE_FEET = {
     "sqft": "1",
@@ -44,20 +46,22 @@ def canonical_unit(unit: Column) -> Column:
     """``Sq. Ft.`` -> ``sqft``; an unknown label is echoed in its cleaned form."""
     key = F.regexp_replace(F.lower(F.trim(unit)), r"(?U)[\s._-]+", "")
     key = F.replace(F.replace(key, F.lit("square"), F.lit("sq")), F.lit("feets"), F.lit("feet"))
-    singular = F.rtrim(key, F.lit("s"))
-    plural = F.concat(key, F.lit("s"))
-    return (
-        F.when(key == "", F.lit(None).cast("string"))
-        .when(key.isin(*KNOWN_UNITS), key)
-        .when(singular.isin(*KNOWN_UNITS), singular)
-        .when(plural.isin(*KNOWN_UNITS), plural)
-        .otherwise(key)
-    )
+
+    def known(label: Column) -> Column:
+        singular, plural = F.rtrim(label, F.lit("s")), F.concat(label, F.lit("s"))
+        return (
+            F.when(label.isin(*KNOWN_UNITS), label)
+            .when(singular.isin(*KNOWN_UNITS), singular)
+            .when(plural.isin(*KNOWN_UNITS), plural)
+            .otherwise(label)
+        )
+
+    return let(F.nullif(key, F.lit("")), known)
 
 
 def to_square_feet(value: Column, unit: Column) -> Column:
     """Positive area in square feet, half-even to two places; null when it cannot be stated safely."""
-    table = F.create_map(*[F.lit(x) for pair in SQUARE_FEET.items() for x in pair])
+    table = F.expr("map(" + ",".join(f"'{name}','{factor}'" for name, factor in SQUARE_FEET.items()) + ")")
     factor = F.try_element_at(table, canonical_unit(unit)).cast("decimal(10,4)")
     amount = value.try_cast("decimal(24,6)")
     return F.when(amount > 0, F.bround(amount * factor, 2).try_cast("decimal(14,2)"))

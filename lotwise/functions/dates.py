@@ -16,37 +16,26 @@ MONTHS = (
 )
 
 _FOUR_DIGIT_YEAR = r"^(\d{1,2})([/.-])(\d{1,2})\2(\d{4})$"
-_TWO_DIGIT_YEAR = r"^(\d{1,2})([/-])(\d{1,2})\2(\d{2})$"
-_NAMED_MONTH = r"^(\d{1,2})(-|\s+)([A-Za-z]+)(?:-|\s+)(\d{4})$"
-_SHORT_MONTH = r"^(\d{1,2})-([A-Za-z]{3})-(\d{4})$"
-_ISO_DAY = r"^\d{4}-\d{1,2}-\d{1,2}$"
+_NAMED_MONTH = r"^(\d{1,2})(-|\s+)([A-Za-z]+)\2(\d{4})$"
+_SHORT_MONTH = r"^(\d{1,2})(-)([A-Za-z]{3})-(\d{4})$"
+_ISO_DAY = r"^(?!0000)\d{4}-\d{1,2}-\d{1,2}$"
 
 
-def _month_number(name: Column, short_only: bool = False) -> Column:
-    pairs: list[Column] = []
+def _month_number(name: Column, short_only: bool) -> Column:
+    entries = []
     for number, month in enumerate(MONTHS, start=1):
-        names = {month[:3]} if short_only else {month[:3], month}
-        for spelling in sorted(names):
-            pairs += [F.lit(spelling), F.lit(str(number))]
-    return F.try_element_at(F.create_map(*pairs), F.lower(name))
+        entries += [f"'{spelling}','{number}'" for spelling in dict.fromkeys([month[:3], month[:3] if short_only else month])]
+    return F.try_element_at(F.expr(f"map({','.join(entries)})"), F.lower(name))
 
 
-def _named(text: Column, pattern: str, day: int, month: int, year: int, short_only: bool) -> Column:
+def _named(text: Column, pattern: str, short_only: bool = False) -> Column:
     """ISO text of a day written with a month name, null when it is not one."""
-    return F.when(
-        text.rlike(pattern),
-        F.concat(
-            F.regexp_extract(text, pattern, year),
-            F.lit("-"),
-            _month_number(F.regexp_extract(text, pattern, month), short_only),
-            F.lit("-"),
-            F.regexp_extract(text, pattern, day),
-        ),
-    )
+    month = _month_number(F.regexp_extract(text, pattern, 3), short_only)
+    return F.concat(F.regexp_extract(text, pattern, 4), F.lit("-"), month, F.lit("-"), F.regexp_extract(text, pattern, 1))
 
 
 def _as_day(iso: Column) -> Column:
-    return F.when(iso.rlike(_ISO_DAY) & ~iso.startswith("0000"), iso.try_cast("date"))
+    return F.regexp_extract(iso, _ISO_DAY, 0).try_cast("date")
 
 
 def parse_date(value: Column) -> Column:
@@ -55,22 +44,10 @@ def parse_date(value: Column) -> Column:
     Everything after a capital T is dropped first; two-digit years pivot at 69.
     """
     text = F.substring_index(F.trim(value), "T", 1)
-    year2 = F.regexp_extract(text, _TWO_DIGIT_YEAR, 4)
-    iso = (
-        F.when(text.rlike(_FOUR_DIGIT_YEAR), F.regexp_replace(text, _FOUR_DIGIT_YEAR, "$4-$3-$1"))
-        .when(
-            text.rlike(_TWO_DIGIT_YEAR),
-            F.concat(
-                F.when(year2 >= "69", "19").otherwise("20"), F.regexp_replace(text, _TWO_DIGIT_YEAR, "$4-$3-$1")
-            ),
-        )
-        .when(
-            text.rlike(_NAMED_MONTH),
-            _named(text, r"^(\d{1,2})(-|\s+)([A-Za-z]+)\2(\d{4})$", 1, 3, 4, short_only=False),
-        )
-        .otherwise(text)
-    )
-    return _as_day(iso)
+    iso = F.regexp_replace(text, _FOUR_DIGIT_YEAR, "$4-$3-$1")
+    iso = F.regexp_replace(iso, r"^(\d{1,2})([/-])(\d{1,2})\2(69|[7-9]\d)$", "19$4-$3-$1")
+    iso = F.regexp_replace(iso, r"^(\d{1,2})([/-])(\d{1,2})\2(\d{2})$", "20$4-$3-$1")
+    return _as_day(F.coalesce(_named(text, _NAMED_MONTH), iso))
 
 
 def parse_indian_date(value: Column) -> Column:
@@ -79,9 +56,9 @@ def parse_indian_date(value: Column) -> Column:
     split = r"^(\S+) (.+)$"
     day_text, clock = F.regexp_extract(text, split, 1), F.regexp_extract(text, split, 2)
     day = _as_day(
-        F.when(day_text.rlike(_FOUR_DIGIT_YEAR), F.regexp_replace(day_text, _FOUR_DIGIT_YEAR, "$4-$3-$1"))
-        .when(day_text.rlike(_SHORT_MONTH), _named(day_text, _SHORT_MONTH, 1, 2, 3, short_only=True))
-        .otherwise(day_text)
+        F.coalesce(
+            _named(day_text, _SHORT_MONTH, short_only=True), F.regexp_replace(day_text, _FOUR_DIGIT_YEAR, "$4-$3-$1")
+        )
     )
 
     h24 = r"^(\d{1,2}):(\d{1,2})(?::(\d{1,2}))?$"
@@ -108,17 +85,13 @@ def parse_indian_date(value: Column) -> Column:
 
 def parse_iso_utc(value: Column) -> Column:
     """ISO 8601 moment; ``Z`` and offsets are honoured, naive text is UTC."""
-    text = F.regexp_replace(F.trim(value), ",", ".")
-    shape = r"^\d{4}-\d{2}-\d{2}(?:[T ]\d{2}:\d{2}(?::\d{2}(?:\.\d+)?)?(?:Z|[+-]\d{2}:?\d{2})?)?$"
-    zone = r"(?:Z|[+-]\d{2}:?\d{2})$"
-    with_clock = F.when(F.length(text) == 10, F.concat(text, F.lit("T00:00:00"))).otherwise(
-        F.regexp_replace(text, r"^(.{10}[T ]\d{2}:\d{2})($|Z|[+-])", "$1:00$2")
-    )
-    offset = F.regexp_replace(with_clock, r"([+-]\d{2})(\d{2})$", "$1:$2")
-    zoned = F.when(F.length(text) == 10, F.concat(with_clock, F.lit("Z"))).otherwise(
-        F.when(text.rlike(zone), offset).otherwise(F.concat(with_clock, F.lit("Z")))
-    )
-    return F.when(text.rlike(shape), zoned.try_cast("timestamp"))
+    text = F.replace(F.trim(value), F.lit(","), F.lit("."))
+    text = F.regexp_replace(text, r"^(\d{4}-\d{2}-\d{2})$", "$1T00:00:00")
+    text = F.regexp_replace(text, r"^(.{10}[T ]\d{2}:\d{2})($|Z|[+-])", "$1:00$2")
+    text = F.regexp_replace(text, r"([+-]\d{2})(\d{2})$", "$1:$2")
+    text = F.regexp_replace(text, r"^(.{10}[T ][0-9:]{8}(?:\.\d+)?)$", "$1Z")
+    whole = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:\d{2})$"
+    return F.regexp_extract(text, whole, 0).try_cast("timestamp")
 
 
 def to_ist(moment: Column) -> Column:

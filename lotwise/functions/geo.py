@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lotwise.functions.text import let
+
 # State -> lowest latitude, highest latitude, lowest longitude, highest longitude.
 STATE_BOXES = {
     "andaman & nicobar islands": (6.0, 14.0, 92.0, 94.5),
@@ -49,8 +51,8 @@ STATE_BOXES = {
 COUNTRY_BOX = (6.0, 37.2, 68.0, 97.5)
 
 
-def _box(box: tuple[float, float, float, float]) -> Column:
-    return F.array(*[F.lit(str(edge)).cast("decimal(9,6)") for edge in box])
+def _box(box: tuple[float, float, float, float]) -> str:
+    return "array(" + ",".join(f"cast({edge} as decimal(9,6))" for edge in box) + ")"
 
 
 def bounds_for(state: Column) -> Column:
@@ -59,19 +61,12 @@ def bounds_for(state: Column) -> Column:
     The table is a literal of 37 entries: it never grows with the data, so it
     travels inside the expression and no join is planned.
     """
-    pairs: list[Column] = []
-    for name, box in STATE_BOXES.items():
-        pairs += [F.lit(name), _box(box)]
-    known = F.try_element_at(F.create_map(*pairs), F.lower(F.trim(state)))
-    return F.coalesce(known, _box(COUNTRY_BOX))
+    table = F.expr("map(" + ",".join(f"'{name}',{_box(box)}" for name, box in STATE_BOXES.items()) + ")")
+    return F.coalesce(F.try_element_at(table, F.lower(F.trim(state))), F.expr(_box(COUNTRY_BOX)))
 
 
 def resolve_coordinates(latitude: Column, longitude: Column, state: Column) -> Column:
     """struct(latitude, longitude, flag): kept, swapped and flagged, or discarded and flagged."""
-    box = bounds_for(state)
-
-    def inside(lat: Column, lon: Column) -> Column:
-        return lat.between(box[0], box[1]) & lon.between(box[2], box[3])
 
     def outcome(lat: Column, lon: Column, flag: Column) -> Column:
         return F.struct(
@@ -80,10 +75,16 @@ def resolve_coordinates(latitude: Column, longitude: Column, state: Column) -> C
             flag.cast("string").alias("flag"),
         )
 
-    nothing = F.lit(None)
-    return (
-        F.when(latitude.isNull() | longitude.isNull(), outcome(nothing, nothing, nothing))
-        .when(inside(latitude, longitude), outcome(latitude, longitude, nothing))
-        .when(inside(longitude, latitude), outcome(longitude, latitude, F.lit("coordinates_transposed")))
-        .otherwise(outcome(nothing, nothing, F.lit("coordinates_outside_state")))
-    )
+    def placed(box: Column) -> Column:
+        def inside(lat: Column, lon: Column) -> Column:
+            return lat.between(box[0], box[1]) & lon.between(box[2], box[3])
+
+        nothing = F.lit(None)
+        return (
+            F.when(latitude.isNull() | longitude.isNull(), outcome(nothing, nothing, nothing))
+            .when(inside(latitude, longitude), outcome(latitude, longitude, nothing))
+            .when(inside(longitude, latitude), outcome(longitude, latitude, F.lit("coordinates_transposed")))
+            .otherwise(outcome(nothing, nothing, F.lit("coordinates_outside_state")))
+        )
+
+    return let(bounds_for(state), placed)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lotwise.functions.text import let
+
 # Multiplier words, first match wins, and the plausible price band.
 MULTIPLIERS = (
     ("crores", 10_000_000),
@@ -34,12 +36,16 @@ def parse_inr(text: Column) -> Column:
     A multiplier word glued to its number (``3.5cr``) is not seen, as in the source data rules.
     """
     plain = F.lower(F.trim(F.translate(text, DEVANAGARI_DIGITS, "0123456789")))
-    plain = F.regexp_replace(plain, CURRENCY_WORDS, " ")
-    factor = F.lit(1).cast("decimal(8,0)")
-    for word, value in reversed(MULTIPLIERS):
-        factor = F.when(plain.rlike(rf"(?U)\b{word}\b"), F.lit(value).cast("decimal(8,0)")).otherwise(factor)
-    digits = F.replace(F.regexp_extract(plain, r"[0-9][0-9,]*(?:\.[0-9]+)?", 0), F.lit(","), F.lit(""))
-    return _money(digits.try_cast("decimal(28,8)") * factor)
+
+    def amount(words: Column) -> Column:
+        factor = F.lit(1).cast("decimal(8,0)")
+        for value in sorted({value for _, value in MULTIPLIERS}):
+            spellings = "|".join(word for word, worth in MULTIPLIERS if worth == value)
+            factor = F.when(words.rlike(rf"(?U)\b(?:{spellings})\b"), F.lit(value).cast("decimal(8,0)")).otherwise(factor)
+        digits = F.replace(F.regexp_extract(words, r"[0-9][0-9,]*(?:\.[0-9]+)?", 0), F.lit(","), F.lit(""))
+        return _money(digits.try_cast("decimal(28,8)") * factor)
+
+    return let(F.regexp_replace(plain, CURRENCY_WORDS, " "), amount)
 
 
 def parse_inr_number(number: Column) -> Column:

@@ -6,41 +6,51 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lotwise.functions.money import emd_ratio, is_plausible_price
-from lotwise.functions.text import clean_text
+from lotwise.functions.text import clean_text, let
 from lotwise.schemas import PUBLISH_THRESHOLD
 
 
 def asset_type_of(label: Column) -> Column:
     """Source type name -> residential / commercial / industrial / agricultural / other."""
-    text = F.lower(clean_text(label))
-    return (
-        F.when(text.isNull(), F.lit(None).cast("string"))
-        .when(text.contains("residential"), "residential")
-        .when(text.contains("commercial"), "commercial")
-        .when(text.contains("industrial"), "industrial")
-        .when(text.contains("agricultur"), "agricultural")
-        .otherwise("other")
-    )
+
+    def kind(text: Column) -> Column:
+        return (
+            F.when(text.contains("residential"), "residential")
+            .when(text.contains("commercial"), "commercial")
+            .when(text.contains("industrial"), "industrial")
+            .when(text.contains("agricultur"), "agricultural")
+            .when(text.isNotNull(), "other")
+        )
+
+    return let(F.lower(clean_text(label)), kind)
+
+
+def _lowered(value: Column) -> Column:
+    return F.coalesce(F.lower(value), F.lit(""))
 
 
 def property_legal_basis(action: Column) -> Column:
-    text = F.coalesce(F.lower(clean_text(action)), F.lit(""))
-    insolvency = text.contains("ibc") | text.contains("liquidat") | text.contains("insolven")
-    return F.when(text.contains("drt"), "drt").when(insolvency, "ibc_liquidation").otherwise("sarfaesi")
+    def basis(text: Column) -> Column:
+        insolvency = text.contains("ibc") | text.contains("liquidat") | text.contains("insolven")
+        return F.when(text.contains("drt"), "drt").when(insolvency, "ibc_liquidation").otherwise("sarfaesi")
+
+    return let(_lowered(clean_text(action)), basis)
 
 
 def vehicle_legal_basis(action: Column) -> Column:
-    text = F.coalesce(F.lower(clean_text(action)), F.lit(""))
-    return (
-        F.when(text.contains("hypothecation"), "contractual")
-        .when(text.contains("drt"), "drt")
-        .when(text.contains("sarfaesi"), "sarfaesi")
-        .otherwise("contractual")
-    )
+    def basis(text: Column) -> Column:
+        return (
+            F.when(text.contains("hypothecation"), "contractual")
+            .when(text.contains("drt"), "drt")
+            .when(text.contains("sarfaesi"), "sarfaesi")
+            .otherwise("contractual")
+        )
+
+    return let(_lowered(clean_text(action)), basis)
 
 
 def declared_possession(declared: Column) -> Column:
-    text = F.coalesce(F.lower(declared), F.lit(""))
+    text = _lowered(declared)
     return F.when(text.contains("physical"), "physical").when(text.contains("symbolic"), "symbolic").otherwise("unknown")
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Iterable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,45 +28,64 @@ ACRONYMS = (
 )
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` worked out once, however often ``use`` mentions it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _one_of(words: Iterable[str]) -> str:
+    return "|".join(re.escape(word) for word in words)
+
+
 def clean_text(value: Column, max_length: int | None = None) -> Column:
     """Repair, collapse spaces, trim punctuation; placeholders and blanks become null."""
     text = value
-    for bad, good in MOJIBAKE:
-        text = F.replace(text, F.lit(bad), F.lit(good))
+    for good in dict.fromkeys(good for _, good in MOJIBAKE):
+        text = F.regexp_replace(text, _one_of(bad for bad, repair in MOJIBAKE if repair == good), good)
     text = F.btrim(F.regexp_replace(text, r"(?U)\s+", " "), F.lit(" ,;:-"))
-    text = F.when((text != "") & ~F.lower(text).isin(*PLACEHOLDERS), text)
-    if max_length:
-        cut = F.regexp_replace(F.substring(text, 1, max_length), r" [^ ]*$", "")
-        text = F.when(F.length(text) > max_length, F.concat(cut, F.lit("..."))).otherwise(text)
-    return text
+    text = F.nullif(F.regexp_replace(text, f"(?i)^(?:{_one_of(PLACEHOLDERS)})$", ""), F.lit(""))
+    if max_length is None:
+        return text
+
+    def shorten(whole: Column) -> Column:
+        cut = F.regexp_replace(F.left(whole, F.lit(max_length)), r" [^ ]*$", "")
+        return F.when(F.length(whole) > max_length, F.concat(cut, F.lit("..."))).otherwise(whole)
+
+    return let(text, shorten)
 
 
 def title_case(value: Column) -> Column:
     """Recase a shouted name word by word; mixed case is left alone."""
-    text = clean_text(value)
 
     def recase(word: Column) -> Column:
         bare = F.lower(F.btrim(word, F.lit(".,()")))
         capital = F.concat(F.upper(F.left(word, F.lit(1))), F.lower(F.substr(word, F.lit(2))))
         return F.when(bare.isin(*ACRONYMS), word).otherwise(capital)
 
-    return F.when(text == F.upper(text), F.array_join(F.transform(F.split(text, " "), recase), " ")).otherwise(text)
+    def name(text: Column) -> Column:
+        words = F.array_join(F.transform(F.split(text, " "), recase), " ")
+        return F.when(text == F.upper(text), words).otherwise(text)
+
+    return let(clean_text(value), name)
 
 
 def normalise_pincode(value: Column) -> Column:
     """Six digits standing alone, first with spaces removed, then as written."""
-    text = clean_text(value)
     six = r"(?U)\b([0-9]{6})\b"
-    joined = F.regexp_extract(F.replace(text, F.lit(" "), F.lit("")), six, 1)
-    return F.coalesce(F.nullif(joined, F.lit("")), F.nullif(F.regexp_extract(text, six, 1), F.lit("")))
+
+    def code(text: Column) -> Column:
+        joined = F.regexp_extract(F.replace(text, F.lit(" "), F.lit("")), six, 1)
+        return F.coalesce(F.nullif(joined, F.lit("")), F.nullif(F.regexp_extract(text, six, 1), F.lit("")))
+
+    return let(clean_text(value), code)
 
 
 def normalise_phone(value: Column) -> Column:
     """Digits only, country code and trunk zero dropped, 6 to 15 digits."""
     digits = F.regexp_replace(clean_text(value), r"\D", "")
-    digits = F.when(digits.startswith("91") & (F.length(digits) == 12), F.substr(digits, F.lit(3))).otherwise(digits)
-    digits = F.when(digits.startswith("0") & (F.length(digits) == 11), F.substr(digits, F.lit(2))).otherwise(digits)
-    return F.when(F.length(digits).between(6, 15), digits)
+    digits = F.regexp_replace(digits, r"^91(\d{10})$", "$1")
+    digits = F.regexp_replace(digits, r"^0(\d{10})$", "$1")
+    return F.nullif(F.regexp_extract(digits, r"^\d{6,15}$", 0), F.lit(""))
 
 
 def first_filled(*values: Column) -> Column:

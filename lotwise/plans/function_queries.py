@@ -361,12 +361,12 @@ def nested_access(spark: SparkSession, sf_dir: str) -> DataFrame:
         "v", F.try_parse_json(F.concat(F.lit('{"a":{"b":'), F.col("props"), F.lit("}}")))
     )
     return events.select(
-        "id", fields.number_at(F.col("v"), "a.b.k").cast("long").alias("k"), fields.text_at(F.col("v"), "a.x.k").alias("missing")
+        "id", fields.text_at(F.col("v"), "a.b.k").try_cast("long").alias("k"), fields.text_at(F.col("v"), "a.x.k").alias("missing")
     )
 
 
 SIZES = """SELECT p_partkey AS id, p_size, CASE WHEN p_partkey % 3 = 0 THEN '0' WHEN p_partkey % 3 = 1 THEN '""'
-  ELSE CAST(p_size AS VARCHAR(20)) END AS carpet,
+  ELSE CAST(p_size AS VARCHAR(20)) END AS floor_text,
   CASE WHEN p_partkey % 2 = 0 THEN CAST(p_size * 2 AS VARCHAR(20)) ELSE 'n.a.' END AS built,
   CASE p_partkey % 4 WHEN 0 THEN 'Sq. Mt' WHEN 1 THEN 'bigha' ELSE 'Cents' END AS unit FROM {part}"""
 _PICK = "CASE WHEN id % 3 = 2 THEN 1 WHEN id % 2 = 0 THEN 2 ELSE 3 END"
@@ -383,11 +383,14 @@ _PARTS = "(CAST(area_value AS BIGINT) * CASE area_unit WHEN 'sqmt' THEN 107639 W
 )
 def chosen_area(spark: SparkSession, sf_dir: str) -> DataFrame:
     record = F.concat(
-        F.lit('{"propertyTypeDetails":{"carpetAreaSqFeet":'), F.col("carpet"), F.lit(',"builtUpAreaSqFeet":"'), F.col("built"),
+        F.lit('{"propertyTypeDetails":{"carpetAreaSqFeet":'), F.col("floor_text"), F.lit(',"builtUpAreaSqFeet":"'), F.col("built"),
         F.lit('","areaInSqYard":'), (F.col("p_size") * 3).cast("string"),
         F.lit(',"unitOfMeasure":{"measurementAbb":"'), F.col("unit"), F.lit('"}}}'),
     )
-    rows = relation(spark, sf_dir, SIZES).withColumn("a", property.chosen_area(F.try_parse_json(record)))
+    rows = fields.read_fields(
+        relation(spark, sf_dir, SIZES).withColumn("p", F.try_parse_json(record)), "p", property.PROPERTY_TEXTS, {}
+    )
+    rows = rows.withColumn("a", property.chosen_area(F.col("carpet"), F.col("built_up"), F.col("yards"), F.col("area_label")))
     return rows.select(
         "id",
         F.col("a.value").cast("double").alias("area_value"),

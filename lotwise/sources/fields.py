@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lotwise.functions.money import parse_inr, parse_inr_number
@@ -41,6 +41,17 @@ def typed_at(record: Column, path: str) -> Column:
     return F.struct(kind_at(record, path).alias("kind"), text_at(record, path).alias("text"))
 
 
+def read_fields(rows: DataFrame, record: str, texts: dict[str, str], amounts: dict[str, str]) -> DataFrame:
+    """Add one text column per entry of ``texts`` and one typed column per entry of ``amounts`` (name -> path).
+
+    Later steps then name columns instead of repeating the lookups.
+    """
+    v = F.col(record)
+    found = {name: text_at(v, path) for name, path in texts.items()}
+    found |= {name: typed_at(v, path) for name, path in amounts.items()}
+    return rows.withColumns(found)
+
+
 def _filled(value: Column) -> Column:
     """Neither missing, blank, zero nor false."""
     text = value["text"]
@@ -49,14 +60,10 @@ def _filled(value: Column) -> Column:
 
 
 def either(*values: Column) -> Column:
-    """First filled of several typed values, else the last as it is."""
+    """First filled of several typed columns, else the last as it is."""
     return F.coalesce(*[F.when(_filled(v), v) for v in values[:-1]], values[-1])
 
 
-def text_of(*values: Column) -> Column:
-    return either(*values)["text"]
-
-
 def rupees(value: Column) -> Column:
     """Money from a typed value: text is parsed, numbers are taken with their sign."""
     return F.when(value["kind"] == "STRING", parse_inr(value["text"])).when(
@@ -64,9 +71,6 @@ def rupees(value: Column) -> Column:
     )
 
 
-def number_at(record: Column, path: str) -> Column:
-    return text_at(record, path).try_cast("decimal(24,8)")
-
 
 def strip_personal_map(record: Column) -> Column:
     """A map without the personal keys."""

@@ -9,14 +9,58 @@ from lotwise.functions import quality
 from lotwise.functions.area import canonical_unit, to_square_feet
 from lotwise.functions.dates import parse_date, parse_iso_utc
 from lotwise.functions.geo import resolve_coordinates
-from lotwise.functions.text import clean_text, normalise_phone, normalise_pincode, title_case
-from lotwise.sources.fields import either, number_at, rupees, strip_personal_data, text_at, text_of, typed_at
+from lotwise.functions.text import clean_text, first_filled, normalise_phone, normalise_pincode, title_case
+from lotwise.sources.fields import either, read_fields, rupees, strip_personal_data
 from lotwise.sources.payload import extract_payload, page_text, with_records
 
 DETAIL_PATH = "/property-detail/"
 DETAIL_ID = r"/property-detail/(\d+)/[0-9a-f]+"
 RECORD_KEYS = ("propertyDetailId", "reservePrice")
 
+# Where a property page's records keep each field.
+PROPERTY_TEXTS = {
+    "stated_id": "propertyDetailId",
+    "raw_unique_id": "propertyUniqueId",
+    "type_name": "propertySubType.propertyType.propertyType",
+    "subtype_name": "propertySubType.propertySubType",
+    "specific_subtype": "specificPropSubtype",
+    "summary": "summaryDesc",
+    "carpet": "propertyTypeDetails.carpetAreaSqFeet",
+    "built_up": "propertyTypeDetails.builtUpAreaSqFeet",
+    "yards": "propertyTypeDetails.areaInSqYard",
+    "area_label": "propertyTypeDetails.unitOfMeasure.measurementAbb",
+    "raw_address": "address",
+    "raw_locality": "locality",
+    "raw_city": "city.name",
+    "raw_district": "district.name",
+    "raw_state": "district.State.name",
+    "raw_pincode": "pincode",
+    "raw_latitude": "latitude",
+    "raw_longitude": "longitude",
+    "property_bank": "bankName",
+    "property_branch": "branchName",
+    "raw_symbolic_day": "symbolicPossDate",
+    "raw_physical_day": "physicalpossdate",
+    "raw_npa_day": "npaDate",
+    "declared": "propertyPossessionType.propertyPossessionType",
+    "action": "propertyTypeOfAction.typeOfAction",
+}
+PROPERTY_AMOUNTS = {"property_price": "propertyPrice", "npa_amount": "npaAmount"}
+AUCTION_TEXTS = {
+    "raw_start": "auctionFrom",
+    "raw_end": "auctionTo",
+    "raw_extended_end": "auctionExtendedTo",
+    "raw_emd_end": "emdEnd",
+    "raw_inspection_start": "inspectionStart",
+    "raw_inspection_end": "inspectionEnd",
+    "auction_bank": "bankName",
+    "auction_branch": "auctionBranch",
+    "checker": "checkerName",
+    "inspector": "inspectionName",
+    "inspector_phone": "inspectionMobileNo",
+}
+AUCTION_AMOUNTS = {"auction_price": "reservePrice", "auction_emd": "emd", "auction_step": "incrementPrice"}
+
 
 def external_id(stated: Column, url: Column, pattern: str) -> Column:
     """Record id, else the digits of the URL; null when neither is there."""
@@ -27,18 +71,14 @@ def filled(value: Column) -> Column:
     return F.nullif(value, F.lit(""))
 
 
-def chosen_area(prop: Column) -> Column:
-    """struct(value, unit): first positive of carpet, built-up (record's unit) and square yards."""
-    details = "propertyTypeDetails"
-    unit = text_at(prop, f"{details}.unitOfMeasure.measurementAbb")
+def chosen_area(carpet: Column, built_up: Column, yards: Column, unit: Column) -> Column:
+    """struct(value, unit): first positive of carpet, built-up (record's unit) and square yards, as text or numbers."""
 
-    def candidate(name: str, its_unit: Column) -> Column:
-        value = number_at(prop, f"{details}.{name}")
+    def candidate(stated: Column, its_unit: Column) -> Column:
+        value = stated.try_cast("decimal(24,8)")
         return F.when(value > 0, F.struct(value.alias("value"), its_unit.alias("unit")))
 
-    return F.coalesce(
-        candidate("carpetAreaSqFeet", unit), candidate("builtUpAreaSqFeet", unit), candidate("areaInSqYard", F.lit("sqyard"))
-    )
+    return F.coalesce(candidate(carpet, unit), candidate(built_up, unit), candidate(yards, F.lit("sqyard")))
 
 
 def property_title(subtype: Column, kind: Column, locality: Column, city: Column) -> Column:
@@ -66,93 +106,91 @@ def property_rows(pages: DataFrame, now: Column) -> DataFrame:
     """
     with_payload = pages.withColumn("payload", extract_payload(page_text(F.col("content"))))
     records = with_records(with_payload, RECORD_KEYS)
-    p, a = F.col("p"), F.col("a")
     read = records.withColumns(
         {
             "p": F.try_parse_json("record_propertyDetailId"),
             "a": F.coalesce(F.try_parse_json("record_reservePrice"), F.parse_json(F.lit("{}"))),
         }
     ).drop("record_propertyDetailId", "record_reservePrice")
-    stated = F.when(p.isNotNull(), external_id(filled(text_at(p, "propertyDetailId")), F.col("url"), DETAIL_ID))
-    raw = read.withColumns(
+    raw = read_fields(read_fields(read, "p", PROPERTY_TEXTS, PROPERTY_AMOUNTS), "a", AUCTION_TEXTS, AUCTION_AMOUNTS)
+    c = F.col
+    clean = raw.withColumns(
         {
-            "external_id": stated,
-            "canonical_url": F.col("url"),
+            "external_id": F.when(c("p").isNotNull(), external_id(filled(c("stated_id")), c("url"), DETAIL_ID)),
+            "canonical_url": c("url"),
             "asset_class": F.lit("property"),
-            "asset_type": quality.asset_type_of(text_at(p, "propertySubType.propertyType.propertyType")),
-            "asset_subtype": title_case(
-                text_of(typed_at(p, "propertySubType.propertySubType"), typed_at(p, "specificPropSubtype"))
-            ),
-            "description": real_description(text_at(p, "summaryDesc")),
-            "area": chosen_area(p),
-            "address": clean_text(text_at(p, "address"), 1000),
-            "locality": title_case(text_at(p, "locality")),
-            "raw_city": text_at(p, "city.name"),
-            "district": title_case(text_at(p, "district.name")),
-            "state": title_case(text_at(p, "district.State.name")),
-            "pincode": F.coalesce(normalise_pincode(text_at(p, "pincode")), normalise_pincode(text_at(p, "address"))),
-            "stated_price": rupees(either(typed_at(a, "reservePrice"), typed_at(p, "propertyPrice"))),
-            "emd_amount": rupees(typed_at(a, "emd")),
-            "bid_increment": rupees(typed_at(a, "incrementPrice")),
-            "outstanding_dues": rupees(typed_at(p, "npaAmount")),
-            "auction_start_at": parse_iso_utc(text_at(a, "auctionFrom")),
-            "stated_end": parse_iso_utc(text_of(typed_at(a, "auctionExtendedTo"), typed_at(a, "auctionTo"))),
-            "emd_deadline_at": parse_iso_utc(text_at(a, "emdEnd")),
-            "inspection_from": parse_iso_utc(text_at(a, "inspectionStart")),
-            "inspection_to": parse_iso_utc(text_at(a, "inspectionEnd")),
-            "bank_name": clean_text(text_of(typed_at(p, "bankName"), typed_at(a, "bankName"))),
-            "branch_name": title_case(text_of(typed_at(a, "auctionBranch"), typed_at(p, "branchName"))),
-            "symbolic_possession_date": parse_date(text_at(p, "symbolicPossDate")),
-            "physical_possession_date": parse_date(text_at(p, "physicalpossdate")),
-            "npa_date": parse_date(text_at(p, "npaDate")),
-            "declared": text_at(p, "propertyPossessionType.propertyPossessionType"),
-            "legal_basis": quality.property_legal_basis(text_at(p, "propertyTypeOfAction.typeOfAction")),
-            "authorised_officer_name": title_case(text_of(typed_at(a, "checkerName"), typed_at(a, "inspectionName"))),
-            "authorised_officer_phone": normalise_phone(text_at(a, "inspectionMobileNo")),
+            "asset_type": quality.asset_type_of(c("type_name")),
+            "asset_subtype": title_case(first_filled(c("subtype_name"), c("specific_subtype"))),
+            "description": real_description(c("summary")),
+            "area": chosen_area(c("carpet"), c("built_up"), c("yards"), c("area_label")),
+            "address": clean_text(c("raw_address"), 1000),
+            "locality": title_case(c("raw_locality")),
+            "city": title_case(c("raw_city")),
+            "district": title_case(c("raw_district")),
+            "state": title_case(c("raw_state")),
+            "pincode": F.coalesce(normalise_pincode(c("raw_pincode")), normalise_pincode(c("raw_address"))),
+            "stated_price": rupees(either(c("auction_price"), c("property_price"))),
+            "emd_amount": rupees(c("auction_emd")),
+            "bid_increment": rupees(c("auction_step")),
+            "outstanding_dues": rupees(c("npa_amount")),
+            "auction_start_at": parse_iso_utc(c("raw_start")),
+            "stated_end": parse_iso_utc(first_filled(c("raw_extended_end"), c("raw_end"))),
+            "emd_deadline_at": parse_iso_utc(c("raw_emd_end")),
+            "inspection_from": parse_iso_utc(c("raw_inspection_start")),
+            "inspection_to": parse_iso_utc(c("raw_inspection_end")),
+            "bank_name": clean_text(first_filled(c("property_bank"), c("auction_bank"))),
+            "branch_name": title_case(first_filled(c("auction_branch"), c("property_branch"))),
+            "symbolic_possession_date": parse_date(c("raw_symbolic_day")),
+            "physical_possession_date": parse_date(c("raw_physical_day")),
+            "npa_date": parse_date(c("raw_npa_day")),
+            "legal_basis": quality.property_legal_basis(c("action")),
+            "authorised_officer_name": title_case(first_filled(c("checker"), c("inspector"))),
+            "authorised_officer_phone": normalise_phone(c("inspector_phone")),
+            "unique_id": clean_text(c("raw_unique_id")),
         }
     )
-    derived = raw.withColumns(
+    derived = clean.withColumns(
         {
-            "asset_key": F.coalesce(
-                clean_text(text_at(p, "propertyUniqueId")), F.concat_ws(":", "source_id", "external_id")
+            "asset_key": F.coalesce("unique_id", F.concat_ws(":", "source_id", "external_id")),
+            "title": property_title(c("asset_subtype"), c("asset_type"), c("locality"), c("raw_city")),
+            "point": resolve_coordinates(
+                c("raw_latitude").try_cast("decimal(24,8)"), c("raw_longitude").try_cast("decimal(24,8)"), c("state")
             ),
-            "city": title_case(F.col("raw_city")),
-            "title": property_title(F.col("asset_subtype"), F.col("asset_type"), F.col("locality"), F.col("raw_city")),
-            "point": resolve_coordinates(number_at(p, "latitude"), number_at(p, "longitude"), F.col("state")),
-            "area_value": F.col("area.value").try_cast("decimal(14,2)"),
-            "area_unit": F.coalesce(canonical_unit(F.col("area.unit")), F.col("area.unit")),
-            "area_sqft": to_square_feet(F.col("area.value"), F.col("area.unit")),
-            "reserve_price": quality.plausible_reserve(F.col("stated_price")),
-            "auction_end_at": quality.repaired_end(F.col("auction_start_at"), F.col("stated_end")),
+            "area_value": c("area.value").try_cast("decimal(14,2)"),
+            "area_unit": F.coalesce(canonical_unit(c("area.unit")), c("area.unit")),
+            "area_sqft": to_square_feet(c("area.value"), c("area.unit")),
+            "reserve_price": quality.plausible_reserve(c("stated_price")),
+            "auction_end_at": quality.repaired_end(c("auction_start_at"), c("stated_end")),
             "possession_type": quality.property_possession(
-                F.col("physical_possession_date"), F.col("symbolic_possession_date"), F.col("declared")
+                c("physical_possession_date"), c("symbolic_possession_date"), c("declared")
             ),
         }
     )
-    start = F.col("auction_start_at")
+    start = c("auction_start_at")
     timed = derived.withColumns(
         {
-            "latitude": F.col("point.latitude"),
-            "longitude": F.col("point.longitude"),
-            "status": quality.listing_status(start, F.col("auction_end_at"), now),
+            "latitude": c("point.latitude"),
+            "longitude": c("point.longitude"),
+            "status": quality.listing_status(start, c("auction_end_at"), now),
         }
     )
     confidence, reasons = quality.property_score(
-        F.col("reserve_price"), start, F.col("status"), F.col("state"), F.col("city"), F.col("emd_amount")
+        c("reserve_price"), start, c("status"), c("state"), c("city"), c("emd_amount")
     )
     return timed.withColumns(
         {
             "confidence": confidence,
             "quality_flags": quality.flags(
-                F.when(F.col("area").isNotNull() & F.col("area_sqft").isNull(), "area_unit_unconvertible"),
-                F.col("point.flag"),
-                quality.implausible_flag(F.col("stated_price")),
-                quality.ratio_flag(F.col("reserve_price"), F.col("emd_amount")),
-                quality.end_flag(start, F.col("stated_end")),
+                F.when(c("area").isNotNull() & c("area_sqft").isNull(), "area_unit_unconvertible"),
+                c("point.flag"),
+                quality.implausible_flag(c("stated_price")),
+                quality.ratio_flag(c("reserve_price"), c("emd_amount")),
+                quality.end_flag(start, c("stated_end")),
                 *reasons,
             ),
             "raw_payload": F.concat(
-                F.lit('{"property":'), strip_personal_data(p), F.lit(',"auction":'), strip_personal_data(a), F.lit("}")
+                F.lit('{"property":'), strip_personal_data(c("p")), F.lit(',"auction":'), strip_personal_data(c("a")),
+                F.lit("}"),
             ),
         }
-    )
+    )
