@@ -40,9 +40,17 @@ def _one_of(words: Iterable[str]) -> str:
 def clean_text(value: Column, max_length: int | None = None) -> Column:
     """Repair, collapse spaces, trim punctuation; placeholders and blanks become null."""
     text = value
-    for good in dict.fromkeys(good for _, good in MOJIBAKE):
-        text = F.regexp_replace(text, _one_of(bad for bad, repair in MOJIBAKE if repair == good), good)
-    text = F.btrim(F.regexp_replace(text, r"(?U)\s+", " "), F.lit(" ,;:-"))
+    for bad, good in MOJIBAKE:
+        if len(bad) == 1:
+            text = F.translate(text, bad, good)
+    broken = text
+    for good in dict.fromkeys(good for bad, good in MOJIBAKE if len(bad) > 1):
+        broken = F.regexp_replace(
+            broken, _one_of(bad for bad, repair in MOJIBAKE if repair == good and len(bad) > 1), good
+        )
+    # Most text has neither damage nor runs of spaces; the patterns match only where something changes.
+    text = F.when(text.contains(MOJIBAKE[-1][0][:2]), broken).otherwise(text)
+    text = F.btrim(F.regexp_replace(text, r"(?U)\s{2,}|[\s&&[^ ]]", " "), F.lit(" ,;:-"))
     text = F.nullif(F.regexp_replace(text, f"(?i)^(?:{_one_of(PLACEHOLDERS)})$", ""), F.lit(""))
     if max_length is None:
         return text

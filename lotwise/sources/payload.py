@@ -50,8 +50,8 @@ def _closing_brace(payload: str, start: int) -> int | None:
     return None
 
 
-def objects_with(payload: str, key: str) -> Iterator[tuple[str, int]]:
-    """(text, number of fields) of each JSON object that directly encloses ``"key"``, in order.
+def objects_with(payload: str, key: str) -> Iterator[tuple[str, dict]]:
+    """(text, record) of each JSON object that directly encloses ``"key"``, in order.
 
     One forward pass keeps the stack of open braces, so finding the enclosing object is
     linear in the page however often the key occurs.  Braces inside strings count here.
@@ -77,7 +77,7 @@ def objects_with(payload: str, key: str) -> Iterator[tuple[str, int]]:
         except json.JSONDecodeError:
             continue
         if isinstance(record, dict) and key in record:
-            yield text, len(record)
+            yield text, record
 
 
 def find_objects(pages: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -86,10 +86,10 @@ def find_objects(pages: DataFrame, keys: Sequence[str]) -> DataFrame:
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = [
-                (url, key, position, text, size)
+                (url, key, position, text, len(record))
                 for url, payload in zip(batch["url"], batch["payload"], strict=True)
                 for key in keys
-                for position, (text, size) in enumerate(objects_with(payload or "", key))
+                for position, (text, record) in enumerate(objects_with(payload or "", key))
             ]
             yield pd.DataFrame(rows, columns=["url", "key", "position", "object_json", "n_fields"])
 
@@ -103,17 +103,21 @@ def largest_object(objects: DataFrame) -> DataFrame:
     return objects.groupBy("url", "key").agg(best.alias("object_json"), F.max("n_fields").alias("n_fields"))
 
 
-def with_records(pages: DataFrame, keys: Sequence[str]) -> DataFrame:
+def with_records(pages: DataFrame, keys: Sequence[str], without: Sequence[str] = ()) -> DataFrame:
     """Pages with one JSON text column ``record_<key>`` per key: its largest object, null when absent.
 
     The choice is made inside the page, so nothing is shuffled; the page body is dropped.
+    Top-level fields named in ``without`` are removed before the text leaves the page.
     """
     kept = [f for f in pages.schema.fields if f.name not in ("payload", "content", "html")]
     names = [f"record_{key}" for key in keys]
+    dropped = frozenset(without)
 
     def best(payload: str | None, key: str) -> str | None:
-        chosen = max(objects_with(payload or "", key), key=lambda found: found[1], default=None)
-        return chosen[0] if chosen else None
+        text, record = max(objects_with(payload or "", key), key=lambda found: len(found[1]), default=(None, {}))
+        if dropped.isdisjoint(record):
+            return text
+        return json.dumps({name: value for name, value in record.items() if name not in dropped}, ensure_ascii=False)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -10,7 +10,7 @@ from lotwise.functions.area import canonical_unit, to_square_feet
 from lotwise.functions.dates import parse_date, parse_iso_utc
 from lotwise.functions.geo import resolve_coordinates
 from lotwise.functions.text import clean_text, first_filled, normalise_phone, normalise_pincode, title_case
-from lotwise.sources.fields import either, read_fields, rupees, strip_personal_data
+from lotwise.sources.fields import PERSONAL_FIELDS, either, read_fields, rupees
 from lotwise.sources.payload import extract_payload, page_text, with_records
 
 DETAIL_PATH = "/property-detail/"
@@ -105,13 +105,13 @@ def property_rows(pages: DataFrame, now: Column) -> DataFrame:
     ``pages`` has ``source_id, url, content`` and whatever should be carried along.
     """
     with_payload = pages.withColumn("payload", extract_payload(page_text(F.col("content"))))
-    records = with_records(with_payload, RECORD_KEYS)
+    records = with_records(with_payload, RECORD_KEYS, PERSONAL_FIELDS)
     read = records.withColumns(
         {
             "p": F.try_parse_json("record_propertyDetailId"),
             "a": F.coalesce(F.try_parse_json("record_reservePrice"), F.parse_json(F.lit("{}"))),
         }
-    ).drop("record_propertyDetailId", "record_reservePrice")
+    )
     raw = read_fields(read_fields(read, "p", PROPERTY_TEXTS, PROPERTY_AMOUNTS), "a", AUCTION_TEXTS, AUCTION_AMOUNTS)
     c = F.col
     clean = raw.withColumns(
@@ -189,8 +189,8 @@ def property_rows(pages: DataFrame, now: Column) -> DataFrame:
                 *reasons,
             ),
             "raw_payload": F.concat(
-                F.lit('{"property":'), strip_personal_data(c("p")), F.lit(',"auction":'), strip_personal_data(c("a")),
-                F.lit("}"),
+                F.lit('{"property":'), c("record_propertyDetailId"), F.lit(',"auction":'),
+                F.coalesce("record_reservePrice", F.lit("{}")), F.lit("}"),
             ),
         }
     )

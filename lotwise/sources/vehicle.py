@@ -9,7 +9,7 @@ from lotwise.functions import quality
 from lotwise.functions.dates import parse_date, parse_iso_utc
 from lotwise.functions.money import emd_from_percentage
 from lotwise.functions.text import clean_text, first_filled, normalise_pincode, title_case
-from lotwise.sources.fields import either, is_number, read_fields, rupees, strip_personal_data
+from lotwise.sources.fields import PERSONAL_FIELDS, either, is_number, read_fields, rupees
 from lotwise.sources.payload import extract_payload, page_text, with_records
 from lotwise.sources.property import external_id, filled
 
@@ -83,11 +83,8 @@ def vehicle_description(fuel: Column, body: Column, engine: Column, odometer: Co
 def vehicle_rows(pages: DataFrame, now: Column) -> DataFrame:
     """One row per page, ``external_id`` null where the page holds no readable record."""
     with_payload = pages.withColumn("payload", extract_payload(page_text(F.col("content"))))
-    read = (
-        with_records(with_payload, ("vehicleId",))
-        .withColumn("v", F.try_parse_json("record_vehicleId"))
-        .drop("record_vehicleId")
-    )
+    records = with_records(with_payload, ("vehicleId",), PERSONAL_FIELDS)
+    read = records.withColumn("v", F.try_parse_json("record_vehicleId"))
     raw = read_fields(read, "v", VEHICLE_TEXTS, VEHICLE_AMOUNTS)
     c = F.col
     share = F.when(is_number(c("emd_percentage.kind")), c("emd_percentage.text").try_cast("decimal(10,6)"))
@@ -154,6 +151,6 @@ def vehicle_rows(pages: DataFrame, now: Column) -> DataFrame:
                 quality.implausible_flag(F.col("stated_price")),
                 *reasons,
             ),
-            "raw_payload": F.concat(F.lit('{"vehicle":'), strip_personal_data(c("v")), F.lit("}")),
+            "raw_payload": F.concat(F.lit('{"vehicle":'), c("record_vehicleId"), F.lit("}")),
         }
     )
