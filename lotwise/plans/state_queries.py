@@ -303,9 +303,10 @@ def _version(seq: int, where: str, **changed: str) -> str:
 _CUT = "CASE WHEN id % 5 = 0 THEN CAST(reserve_price * 0.5 AS DECIMAL(18,2)) ELSE reserve_price END"
 _STAYED = "CASE WHEN id % 4 = 0 THEN 'stayed' ELSE status END"
 #: Three readings of the listings: a price cut, a stay with a new address, and the same again.
-PARSED = f"""WITH l AS ({LISTINGS}) {_version(1, "id % 4 <> 1", reserve_price=_CUT)}
- UNION ALL {_version(2, "id % 6 = 0", reserve_price=_CUT, status=_STAYED, address="upper(address)")}
- UNION ALL {_version(3, "id % 12 = 0", reserve_price=_CUT, status=_STAYED, address="upper(address)")}"""
+_READINGS = {1: "id % 4 <> 1", 2: "id % 6 = 0", 3: "id % 12 = 0"}
+PARSED = f"""WITH l AS ({LISTINGS}) {_version(1, _READINGS[1], reserve_price=_CUT)}
+ UNION ALL {_version(2, _READINGS[2], reserve_price=_CUT, status=_STAYED, address="upper(address)")}
+ UNION ALL {_version(3, _READINGS[3], reserve_price=_CUT, status=_STAYED, address="upper(address)")}"""
 STORED = f"SELECT * FROM ({LISTINGS}) AS l WHERE id % 3 <> 0"
 
 
@@ -338,8 +339,33 @@ MERGE = f"""{given(stored=STORED, parsed=PARSED)},
  eff AS (SELECT * FROM acted WHERE action <> 'unchanged')"""
 
 
+def stored_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return listings(spark, sf_dir).filter("id % 3 <> 0")
+
+
+def parsed_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The readings of ``PARSED`` from one scan: each listing is spread over the versions it has."""
+    has = F.array_compact(F.array(*[F.when(F.expr(w), F.lit(n).cast("long")) for n, w in _READINGS.items()]))
+    later = F.col("seq") > 1
+    return (
+        listings(spark, sf_dir)
+        .withColumn("seq", F.explode(has))
+        .select(
+            "id", "source_id", "external_id",
+            *[c for c in CONTENT_NAMES if c not in ("reserve_price", "status", "address")],
+            F.expr(_CUT).alias("reserve_price"),
+            F.when(later, F.expr(_STAYED)).otherwise(F.col("status")).alias("status"),
+            F.when(later, F.upper("address")).otherwise(F.col("address")).alias("address"),
+            F.expr("CAST(CASE WHEN id % 11 = 0 THEN 0.40 ELSE confidence END AS DECIMAL(3,2))").alias("confidence"),
+            "seq",
+            F.make_timestamp(F.lit(2002), F.col("seq").cast("int"), F.lit(1), F.lit(0), F.lit(0), F.lit(0)).alias("seen_at"),
+        )
+        .drop("id")
+    )
+
+
 def _revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    busy = upsert.busy_listings(relation(spark, sf_dir, PARSED))
+    busy = upsert.busy_listings(parsed_listings(spark, sf_dir))
     return upsert.revisions(_actions(spark, sf_dir), hot=busy)
 
 
@@ -348,8 +374,8 @@ def _actions(spark: SparkSession, sf_dir: str) -> DataFrame:
         "quality_flags": F.lit(None).cast("array<string>"),
         "raw_payload": F.lit(None).cast("string"),
     }
-    stored = upsert.with_fingerprint(relation(spark, sf_dir, STORED).withColumns(empty))
-    parsed = relation(spark, sf_dir, PARSED).withColumns(empty)
+    stored = upsert.with_fingerprint(stored_listings(spark, sf_dir).withColumns(empty))
+    parsed = parsed_listings(spark, sf_dir).withColumns(empty)
     return upsert.merge_listings(stored, parsed)
 
 
@@ -428,7 +454,7 @@ def listing_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"{given(parsed=PARSED)} SELECT external_id, seq, confidence >= 0.70 AS publish FROM parsed",
 )
 def publish_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parsed = relation(spark, sf_dir, PARSED)
+    parsed = parsed_listings(spark, sf_dir)
     return parsed.select("external_id", "seq", quality.is_publishable(F.col("confidence")).alias("publish"))
 
 
@@ -450,7 +476,7 @@ def parse_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def sync_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     local = listings(spark, sf_dir).withColumn("source_document_id", F.col("id"))
-    moved = upsert.sync_missing(local, relation(spark, sf_dir, STORED), ["source_id", "external_id"])
+    moved = upsert.sync_missing(local, stored_listings(spark, sf_dir), ["source_id", "external_id"])
     return moved.select("id", "source_id", "external_id", "source_document_id")
 
 
@@ -460,7 +486,7 @@ def sync_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     count(*) FILTER (id % 3 <> 0) AS remote_rows FROM listings""",
 )
 def sync_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return upsert.sync_counts(listings(spark, sf_dir), relation(spark, sf_dir, STORED), "listings")
+    return upsert.sync_counts(listings(spark, sf_dir), stored_listings(spark, sf_dir), "listings")
 
 
 @query(
@@ -471,7 +497,7 @@ def sync_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def existing_rows_win(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The remote table after the copy."""
-    remote = relation(spark, sf_dir, STORED)
+    remote = stored_listings(spark, sf_dir)
     fresh = upsert.sync_missing(listings(spark, sf_dir), remote, ["source_id", "external_id"])
     after = remote.select("external_id", F.lit("remote").alias("side"))
     return after.unionByName(fresh.select("external_id", F.lit("local").alias("side")))

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from lotwise.operators import crawl, upsert, url_state
 from lotwise.plans.relations import ATTEMPTS, FETCH_LOG, relation
-from lotwise.plans.state_queries import PARSED
+from lotwise.plans.state_queries import parsed_listings
 from lotwise.schemas import LISTING
 from lotwise.streaming import listing_stream, url_stream
 
@@ -50,9 +50,12 @@ def test_url_state_stream_equals_batch(spark, tmp_path):
 
 
 def test_listing_stream_equals_batch_and_repeats_safely(spark, tmp_path):
-    parsed = relation(spark, SF, PARSED).withColumns(
+    parsed = parsed_listings(spark, SF).withColumns(
         {"quality_flags": F.lit(None).cast("array<string>"), "raw_payload": F.lit(None).cast("string")}
     )
+    saved = str(tmp_path / "parsed")
+    parsed.write.parquet(saved)
+    parsed = spark.read.parquet(saved)
     empty = spark.createDataFrame([], LISTING)
     actions = upsert.merge_listings(empty, parsed)
     whole = upsert.snapshot(actions).drop("last_verified_at")
