@@ -64,13 +64,8 @@ SMALL = """SELECT event_id AS id, 'https://x.test/property-detail/' || CAST(even
 SMALL_BODY = """'{"propertyDetailId":0}{"propertyDetailId":' || id || ',"city":{"name":"' || event_type || ' {x}"},"reservePrice":' || n || '}'"""
 
 
-def spread(spark: SparkSession, rows: DataFrame) -> DataFrame:
-    """Narrow rows dealt over all cores before wide pages are built from them (a small table is one file)."""
-    return rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
-
-
 def small_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spread(spark, relation(spark, sf_dir, SMALL))
+    rows = relation(spark, sf_dir, SMALL, deal="events")
     body = F.concat(
         F.lit('{"propertyDetailId":0}{"propertyDetailId":'), F.col("id").cast("string"), F.lit(',"city":{"name":"'),
         F.col("event_type"), F.lit(' {x}"},"reservePrice":'), F.col("n").cast("string"), F.lit("}"),
@@ -222,7 +217,7 @@ def _vehicle_record() -> Column:
 
 def fetched_pages(spark: SparkSession, sf_dir: str, facts: str = FACTS) -> DataFrame:
     """Pages of two registered sources and one unknown; every 41st page carries no record."""
-    rows = spread(spark, relation(spark, sf_dir, facts))
+    rows = relation(spark, sf_dir, facts, deal="events")
     vehicle_page = F.col("id") % 4 == 0
     source = F.when(F.col("id") % 97 == 0, "elsewhere").when(vehicle_page, "psb_vehicle").otherwise("psb_property")
     folder = F.when(vehicle_page, "vehicle").otherwise("property")
