@@ -139,6 +139,20 @@ def _both(a: str, b: str, name: str) -> Column:
     return F.col(f"{a}.{name}").isNotNull() & F.col(f"{b}.{name}").isNotNull()
 
 
+def _exact_sum(terms: list[Column]) -> Column:
+    """Sum that carries the rounding error of each step, so scores on a threshold fall on the right side."""
+
+    def add(total: Column, term: Column) -> Column:
+        whole = total["s"] + term
+        lost = F.when(F.abs(total["s"]) >= F.abs(term), (total["s"] - whole) + term).otherwise(
+            (term - whole) + total["s"]
+        )
+        return F.struct(whole.alias("s"), (total["c"] + lost).alias("c"))
+
+    start = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("c"))
+    return F.aggregate(F.array(*terms), start, add, lambda total: total["s"] + total["c"])
+
+
 def with_similarity(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Add ``score`` and ``reasons``: how likely the rows aliased ``a`` and ``b`` are one asset.
 
@@ -170,11 +184,9 @@ def with_similarity(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         "pincode": F.when(_both(a, b, "pincode"), same_pin),
     }
     measured = overlaps.withColumns({f"_{name}_part": part for name, part in parts.items()})
-    named = [(F.col(f"_{name}_part"), F.lit(WEIGHTS[name])) for name in parts]
-    gained = reduce(lambda x, y: x + y, [F.coalesce(part * weight, F.lit(0.0)) for part, weight in named])
-    weighed = reduce(
-        lambda x, y: x + y, [F.when(part.isNotNull(), weight).otherwise(F.lit(0.0)) for part, weight in named]
-    )
+    named = [(F.col(f"_{name}_part"), WEIGHTS[name]) for name in parts]
+    gained = _exact_sum([F.coalesce(part * F.lit(weight), F.lit(0.0)) for part, weight in named])
+    weighed = _exact_sum([F.when(part.isNotNull(), F.lit(weight)).otherwise(F.lit(0.0)) for part, weight in named])
     price_a, price_b = col(a, "reserve_price"), col(b, "reserve_price")
     averaged = measured.withColumns(
         {

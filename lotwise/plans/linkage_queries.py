@@ -24,6 +24,15 @@ def jaccard_sql(a: str, b: str) -> str:
     return f"(CASE WHEN len({a}) = 0 OR len({b}) = 0 THEN 0.0e0 ELSE {shared} / (len({a}) + len({b}) - {shared}) END)"
 
 
+def exact_sum_sql(terms: list[str]) -> str:
+    """struct(s, c) whose parts add to the sum with the rounding error of each step carried."""
+    steps = ", ".join(f"{{'s': {term}, 'c': 0.0e0}}" for term in terms)
+    return (
+        f"list_reduce([{steps}], lambda a, x: {{'s': a.s + x.s, 'c': a.c + CASE WHEN abs(a.s) >= abs(x.s) "
+        "THEN (a.s - (a.s + x.s)) + x.s ELSE (x.s - (a.s + x.s)) + a.s END})"
+    )
+
+
 FEATURES = f"""{given(listings=LISTINGS)},
  g AS (SELECT id, asset_class, asset_key, state, city, pincode, area_sqft, reserve_price, auction_start_at,
    {words_sql('address')} AS aw, coalesce(locality <> '', FALSE) AS hl, {words_sql('locality')} AS lw FROM listings),
@@ -54,11 +63,9 @@ SCORED = f"""{PAIRS},
    CASE WHEN a.city <> '' AND b.city <> '' THEN CASE WHEN lower(a.city) = lower(b.city) THEN 1.0e0 ELSE 0.0e0 END END AS s_city,
    CASE WHEN a.pincode <> '' AND b.pincode <> '' THEN CASE WHEN a.pincode = b.pincode THEN 1.0e0 ELSE 0.0e0 END END AS s_pincode
    FROM met JOIN f a ON a.id = met.a_id JOIN f b ON b.id = met.b_id),
- mean AS (SELECT *, (coalesce(s_address * 0.40e0, 0.0e0) + coalesce(s_area * 0.20e0, 0.0e0)
-     + coalesce(s_locality * 0.15e0, 0.0e0) + coalesce(s_city * 0.15e0, 0.0e0) + coalesce(s_pincode * 0.10e0, 0.0e0))
-   / nullif(CASE WHEN s_address IS NULL THEN 0.0e0 ELSE 0.40e0 END + CASE WHEN s_area IS NULL THEN 0.0e0 ELSE 0.20e0 END
-     + CASE WHEN s_locality IS NULL THEN 0.0e0 ELSE 0.15e0 END + CASE WHEN s_city IS NULL THEN 0.0e0 ELSE 0.15e0 END
-     + CASE WHEN s_pincode IS NULL THEN 0.0e0 ELSE 0.10e0 END, 0.0e0) AS m FROM parts),
+ sums AS (SELECT *, {exact_sum_sql([f"coalesce(s_{n} * {w}e0, 0.0e0)" for n, w in linkage.WEIGHTS.items()])} AS g,
+   {exact_sum_sql([f"CASE WHEN s_{n} IS NULL THEN 0.0e0 ELSE {w}e0 END" for n, w in linkage.WEIGHTS.items()])} AS d FROM parts),
+ mean AS (SELECT *, (g.s + g.c) / nullif(d.s + d.c, 0.0e0) AS m FROM sums),
  scored AS (SELECT *, coalesce(m IS NOT NULL AND ra <> 0 AND ra = rb, FALSE) AS same_price,
    CASE WHEN same_asset THEN 1.0e0 WHEN coalesce(m IS NOT NULL AND ra <> 0 AND ra = rb, FALSE)
      THEN least(1.0e0, m + 0.10e0) ELSE coalesce(m, 0.0e0) END AS score FROM mean),
