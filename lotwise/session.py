@@ -10,7 +10,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -34,6 +34,17 @@ def checkpoint_root(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="lotwise-")
 
 
+def saved(rows: DataFrame) -> DataFrame:
+    """Rows written once to the checkpoint folder and read from there by every later use.
+
+    For results that are costly to work out and read several times; they survive lost executors.
+    """
+    spark = rows.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(checkpoint_root(spark))
+    return rows.checkpoint(eager=True)
+
+
 def local_session(cores: int | str = 8, partitions: int = 8, memory: str = "8g") -> SparkSession:
     spark = (
         SparkSession.builder.master(f"local[{cores}]")

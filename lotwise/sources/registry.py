@@ -9,8 +9,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lotwise.operators.upsert import merge_listings
+from lotwise.operators.upsert import merge_listings, with_fingerprint
 from lotwise.schemas import PARSED_LISTING
+from lotwise.session import saved
 from lotwise.sources import property as property_source
 from lotwise.sources import vehicle as vehicle_source
 from lotwise.sources.sitemap import discover_urls
@@ -89,8 +90,9 @@ def reparse(
 
     Feed ``actions`` to the snapshot and revision operators, both to ``reparse_report``.
     ``archive`` carries ``page_seq`` (order of application) and ``seen_at``.
+    Pages are parsed once: the attempts are saved, and everything after reads them.
     """
-    attempts = parse_attempts(archive, registry, now)
+    attempts = saved(with_fingerprint(parse_attempts(archive, registry, now)))
     actions = merge_listings(stored, readable(attempts).withColumnRenamed("page_seq", "seq"))
     return attempts, actions
 
