@@ -5,12 +5,14 @@ Documents stand for listings: ``doc_id`` is the listing's ``id`` and ``text`` it
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotwise.llm import bpe
+from lotwise.llm import bpe, packing, secrets
 from lotwise.session import prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,3 +54,32 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(F.col("token_ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
         F.sha2(F.col("description").cast("binary"), 256).alias("decoded_sha256"),
     )
+
+
+@F.pandas_udf("long")
+def ids_crc32(lists: pd.Series) -> pd.Series:
+    return lists.map(lambda ids: zlib.crc32(ids.astype("<u4").tobytes()))
+
+
+@query("op3_vector_packing")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = bpe.encode_descriptions(listings(spark, sf_dir), word_vocabulary())
+    ended = encoded.withColumn("token_ids", F.concat("token_ids", F.array(F.lit(2))))
+    pieces = packing.pack_listings(ended, packing.Limits(max_tokens=4096, max_segments=64, max_loss_tokens=4096))
+    return pieces.select(
+        F.col("id").alias("doc_id"), "start", "length", ids_crc32("token_ids").alias("ids_crc32"),
+        F.col("total_tokens").alias("doc_tokens"), "sequence_id", "offset",
+    )
+
+
+@query("op10_secret_scan")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan_secrets(listings(spark, sf_dir))
+    base = [rule.kind for rule in secrets.BASE_RULES]
+    counts = {kind: F.size(F.filter("spans", lambda s, k=kind: s["kind"] == k)).cast("long") for kind in base}
+    return found.select(
+        F.col("id").alias("doc_id"),
+        *[counts[kind].alias(f"n_{kind}") for kind in base],
+        F.sha2(secrets.spans_text(F.col("spans"), base).cast("binary"), 256).alias("base_sha256"),
+        secrets.spans_text(F.col("spans")).alias("spans"),
+    )
