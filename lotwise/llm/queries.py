@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotwise.llm import bpe, packing, secrets
+from lotwise.llm import bpe, neighbours, packing, secrets, topk
 from lotwise.session import prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -83,3 +83,19 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(secrets.spans_text(F.col("spans"), base).cast("binary"), 256).alias("base_sha256"),
         secrets.spans_text(F.col("spans")).alias("spans"),
     )
+
+
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+
+
+@query("op4_exact_top_products")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    whole = topk.scaled(vectors(spark, sf_dir))
+    return topk.top_products(whole.filter(F.col("vec_id") % 20 == 0), whole, k=20)
+
+
+@query("op5_nearest_neighbours")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = vectors(spark, sf_dir)
+    return neighbours.nearest(given.filter(F.col("vec_id") % 100 == 0), given, k=10)
