@@ -9,10 +9,10 @@ import zlib
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotwise.llm import bpe, neighbours, packing, secrets, topk
+from lotwise.llm import bpe, linequality, neighbours, packing, secrets, topk
 from lotwise.session import prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -99,3 +99,26 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = vectors(spark, sf_dir)
     return neighbours.nearest(given.filter(F.col("vec_id") % 100 == 0), given, k=10)
+
+
+def held_out(id_: Column) -> Column:
+    """Rows whose labels are never learned from."""
+    return F.crc32(id_.cast("string").cast("binary")) % 4 == 2
+
+
+def quality_model(spark: SparkSession, texts: DataFrame, sf_dir: str) -> linequality.QualityModel:
+    """The model learned from the labels that are not held out."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.col("doc_id").alias("id"), "quality")
+    return linequality.fit(texts, labels.filter(~held_out(F.col("id"))))
+
+
+@query("op7_line_field_quality")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = listings(spark, sf_dir)
+    scored = quality_model(spark, texts, sf_dir).score(texts)
+    return scored.select(
+        F.col("id").alias("doc_id"),
+        held_out(F.col("id")).alias("held_out"),
+        "score",
+        (F.col("score") >= linequality.DIVIDE).cast("int").alias("predicted"),
+    )
