@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotwise.llm import bpe, linequality, neighbours, packing, secrets, topk
+from lotwise.llm import bpe, linequality, neighbours, ngramjoin, packing, secrets, topk
 from lotwise.session import prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -122,3 +122,11 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
         "score",
         (F.col("score") >= linequality.DIVIDE).cast("int").alias("predicted"),
     )
+
+
+@query("op9_partenum_join")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ngramjoin.near_copies(listings(spark, sf_dir), percent=85, width=4)
+    return found.select(
+        F.col("id").alias("doc_id"), F.col("size").alias("n_shingles"), F.col("component").alias("component_id")
+    )

@@ -42,3 +42,15 @@ def spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     ends = np.cumsum(counts)
     total = int(ends[-1]) if len(ends) else 0
     return np.repeat(starts - (ends - counts), counts) + np.arange(total)
+
+
+def pack_sorted(values: np.ndarray) -> bytes:
+    """Ascending unsigned 64-bit numbers as byte planes of their differences, compressed."""
+    values = np.ascontiguousarray(values, dtype="<u8")
+    steps = np.diff(values, prepend=np.zeros(1, "<u8"))
+    return squeeze(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes())
+
+
+def unpack_sorted(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(unsqueeze(data), dtype=np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
