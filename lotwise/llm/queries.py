@@ -8,7 +8,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,9 +20,15 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
+def prepared(spark: SparkSession) -> SparkSession:
+    """Rows of whole texts and id lists are wide: fewer of them go to a Python worker at once."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    return prepare(spark)
+
+
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def register(build: Query) -> Query:
-        QUERIES[name] = lambda spark, sf_dir: build(prepare(spark), sf_dir)
+        QUERIES[name] = lambda spark, sf_dir: build(prepared(spark), sf_dir)
         if sql:
             ORACLES[name] = sql
         return build
@@ -56,9 +62,10 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@F.pandas_udf("long")
-def ids_crc32(lists: pd.Series) -> pd.Series:
-    return lists.map(lambda ids: zlib.crc32(ids.astype("<u4").tobytes()))
+@F.arrow_udf("long")
+def ids_crc32(lists: pa.Array) -> pa.Array:
+    ids, ends = lists.values.to_numpy().astype("<u4"), lists.offsets.to_numpy()
+    return pa.array([zlib.crc32(ids[a:b].tobytes()) for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.int64())
 
 
 @query("op3_vector_packing")
@@ -76,10 +83,13 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan_secrets(listings(spark, sf_dir))
     base = [rule.kind for rule in secrets.BASE_RULES]
-    counts = {kind: F.size(F.filter("spans", lambda s, k=kind: s["kind"] == k)).cast("long") for kind in base}
+
+    def number(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda span: span["kind"] == kind)).cast("long")
+
     return found.select(
         F.col("id").alias("doc_id"),
-        *[counts[kind].alias(f"n_{kind}") for kind in base],
+        *[number(kind).alias(f"n_{kind}") for kind in base],
         F.sha2(secrets.spans_text(F.col("spans"), base).cast("binary"), 256).alias("base_sha256"),
         secrets.spans_text(F.col("spans")).alias("spans"),
     )
