@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotwise.llm import bpe, linequality, neighbours, ngramjoin, packing, secrets, topk
+from lotwise.llm import bpe, linequality, neighbours, ngramjoin, packing, repeats, secrets, topk
 from lotwise.session import prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,6 +62,19 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op2_suffix_repeats")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = repeats.remove_repeats(listings(spark, sf_dir), width=200)
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda total, s: total + s["end"] - s["start"])
+    return cleaned.select(
+        F.col("id").alias("doc_id"),
+        "n_bytes",
+        removed.alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 @F.arrow_udf("long")
 def ids_crc32(lists: pa.Array) -> pa.Array:
     ids, ends = lists.values.to_numpy().astype("<u4"), lists.offsets.to_numpy()
