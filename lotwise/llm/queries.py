@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotwise.llm import bpe, linequality, neighbours, ngramjoin, packing, repeats, secrets, topk
+from lotwise.llm import bpe, linededup, linequality, neighbours, ngramjoin, packing, repeats, secrets, topk
 from lotwise.session import prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -153,3 +153,14 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         F.col("id").alias("doc_id"), F.col("size").alias("n_shingles"), F.col("component").alias("component_id")
     )
+
+
+@query("op8_fuzzy_lines")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = linededup.remove_near_lines(listings(spark, sf_dir))
+    return cleaned.select(
+        F.col("id").alias("doc_id"),
+        F.col("removed_lines").cast("long").alias("n_removed"),
+        F.length("description").cast("long").alias("n_chars_kept"),
+        F.sha2(F.col("description").cast("binary"), 256).alias("kept_sha256"),
+    )

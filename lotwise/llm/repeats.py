@@ -21,15 +21,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
+from lotwise.llm import textblocks
 from lotwise.llm.columnbwt import repeated_starts
 from lotwise.llm.ngramjoin import mixed
+from lotwise.llm.textblocks import opened, unpack_ids
 from lotwise.llm.wire import pack_numbers, pack_sorted, spread, squeeze, unpack_numbers, unpack_sorted, unsqueeze
 
-BLOCK_BYTES = 8 << 20
 #: Window starts looked at together.
 PIECE = 1 << 19
 #: Buckets for each shuffle partition of the session.
@@ -37,7 +36,6 @@ BUCKETS_PER_PARTITION = 2
 #: Different runs of a key, counted block by block, above which its starts are matched one by one.
 HOT_RUNS = 20_000
 
-BLOCK = "block long, ids binary, lengths binary, text binary"
 NAMED = "block long, kind int, place int, numbers binary, first binary, second binary"
 ALONE, SAME, DIFFER, HOT = range(4)
 KEYS, RUNS, STARTS = range(3)
@@ -189,42 +187,6 @@ def by_key(runs: Runs) -> Keys:
     return Keys(order, np.cumsum(new_run) - 1, run_first, key_of, keys, different, total, several)
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    number = TaskContext.get().partitionId() << 32
-    ids, texts, held = [], [], 0
-
-    def block() -> pa.RecordBatch:
-        row = {"ids": pack_ids(ids), "lengths": pack_numbers(np.array(list(map(len, texts)))), "text": squeeze(b"".join(texts))}
-        columns = {name: pa.array([x], pa.binary()) for name, x in row.items()}
-        return pa.RecordBatch.from_pydict({"block": pa.array([number], pa.int64()), **columns})
-
-    for batch in batches:
-        for id_, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            ids.append(id_)
-            texts.append((text.as_py() or "").encode())
-            held += len(texts[-1])
-            if held >= BLOCK_BYTES:
-                yield block()
-                number, ids, texts, held = number + 1, [], [], 0
-    if ids:
-        yield block()
-
-
-def pack_ids(ids: list[int | None]) -> bytes:
-    """Ids, and which of them are null."""
-    known = np.array([i is not None for i in ids])
-    return np.packbits(known).tobytes() + np.array([i or 0 for i in ids], "<i8").tobytes()
-
-
-def unpack_ids(data: bytes, count: int) -> list[int | None]:
-    known = np.unpackbits(np.frombuffer(data, np.uint8)[: -8 * count], count=count)
-    return [i if k else None for i, k in zip(np.frombuffer(data[-8 * count :], "<i8").tolist(), known, strict=True)]
-
-
-def _opened(row: dict) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(unsqueeze(row["text"]), np.uint8), unpack_numbers(row["lengths"]).astype(np.int64)
-
-
 def _shared_out(numbers: np.ndarray, buckets: int) -> tuple[np.ndarray, list[slice]]:
     """Ascending numbers by bucket: the places, and the slice of each."""
     home = (numbers >> np.uint64(40)).astype(np.int64) * buckets >> 24
@@ -246,7 +208,7 @@ def _name_keys(width: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                data, lengths = _opened(row)
+                data, lengths = opened(row)
                 runs = find_runs(data, lengths, width)
                 found = by_key(runs)
                 if not len(found.keys):
@@ -321,7 +283,7 @@ def _name_runs(width: int, shards: int):
     def run(blocks: pa.Table, replies: pa.Table) -> pa.Table:
         answers, out = replies.to_pylist(), []
         for row in blocks.to_pylist():
-            data, lengths = _opened(row)
+            data, lengths = opened(row)
             runs = find_runs(data, lengths, width)
             found = by_key(runs)
             kind = _classes(found, answers)
@@ -391,7 +353,7 @@ def _remove(width: int, shards: int):
         answers = replies.to_pylist()
         ids, sizes, spans, kept = [], [], [], []
         for row in blocks.to_pylist():
-            data, lengths = _opened(row)
+            data, lengths = opened(row)
             runs = find_runs(data, lengths, width)
             found = by_key(runs)
             kind = _classes(found, answers)
@@ -470,8 +432,7 @@ def remove_repeats(listings: DataFrame, width: int = 200) -> DataFrame:
     if not 2 <= width <= 254:
         raise ValueError("width is 2 to 254")
     buckets = int(listings.sparkSession.conf.get("spark.sql.shuffle.partitions")) * BUCKETS_PER_PARTITION
-    texts = listings.select(F.col("id").cast("long").alias("id"), F.col("description").cast("string"))
-    blocks = texts.mapInArrow(_cut, BLOCK).repartition("block")
+    blocks = textblocks.blocks(listings)
     named = blocks.mapInArrow(_name_keys(width, buckets), NAMED)
     classes = named.groupBy("place").applyInArrow(_judge_keys, NAMED)
     by_block = blocks.groupBy("block")
