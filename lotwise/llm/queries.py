@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotwise.llm import bpe, linededup, linequality, neighbours, ngramjoin, packing, repeats, secrets, topk
+from lotwise.llm import bpe, linededup, linequality, lmscore, neighbours, ngramjoin, packing, repeats, secrets, topk
 from lotwise.session import prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,9 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+PACKING = packing.Limits(max_tokens=4096, max_segments=64, max_loss_tokens=4096)
+
+
 def word_vocabulary() -> str:
     import public_tokenizers
 
@@ -85,7 +88,7 @@ def ids_crc32(lists: pa.Array) -> pa.Array:
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = bpe.encode_descriptions(listings(spark, sf_dir), word_vocabulary())
     ended = encoded.withColumn("token_ids", F.concat("token_ids", F.array(F.lit(2))))
-    pieces = packing.pack_listings(ended, packing.Limits(max_tokens=4096, max_segments=64, max_loss_tokens=4096))
+    pieces = packing.pack_listings(ended, PACKING)
     return pieces.select(
         F.col("id").alias("doc_id"), "start", "length", ids_crc32("token_ids").alias("ids_crc32"),
         F.col("total_tokens").alias("doc_tokens"), "sequence_id", "offset",
@@ -164,3 +167,12 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("description").cast("long").alias("n_chars_kept"),
         F.sha2(F.col("description").cast("binary"), 256).alias("kept_sha256"),
     )
+
+
+@query("op6_cross_entropy_difference")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = listings(spark, sf_dir)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    good = labels.filter("quality = 1").select(F.col("doc_id").alias("id")).distinct()
+    scorer = lmscore.fit(target=texts.join(good, "id", "left_semi"), background=texts)
+    return scorer.score(texts).withColumnRenamed("id", "doc_id")
