@@ -3,6 +3,8 @@
 A target model is counted over chosen listings and a background model over all of them (Moore and Lewis, 2010).
 Both are bigram models smoothed towards their unigrams with the same constants over one vocabulary: words, and pairs
 of words, are numbered by hash in tables of a fixed size, so nothing is unknown to one model and known to the other.
+A listing that was counted itself is scored without its own counts, so that no model merely knows it by heart.
+
 Every task counts its texts into such tables; the tables are added up in two steps, segment by segment.  Their size is
 a parameter, whatever the corpus: that is the bound on which handing them to every task rests.
 """
@@ -30,7 +32,7 @@ FLOOR = 0.5
 #: Table entries in one row of the sums, and partial sums added up at once.
 SEGMENT = 1 << 14
 FAN_IN = 32
-COUNTS = "segment int, branch int, counts binary"
+COUNTS = "model int, segment int, branch int, counts binary"
 
 
 def _tokens(texts: list[str | None], hashes: WordHashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -64,54 +66,51 @@ def _unpack(data: bytes) -> np.ndarray:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The tables of one task: words, words that have a word behind them (by number plus one), pairs."""
+    """The tables of one task, target and background: words, firsts of a pair (by number plus one), pairs."""
     hashes = WordHashes()
-    word_counts, head_counts = np.zeros(WORDS, np.int64), np.zeros(WORDS + SEGMENT, np.int64)
-    pair_counts = np.zeros(PAIRS, np.int64)
+    tables = np.zeros((2, 2 * WORDS + SEGMENT + PAIRS), np.int64)
     for batch in batches:
-        texts = batch.column(0).to_pylist()
+        texts, chosen = batch.column(0).to_pylist(), np.array(batch.column(1).to_pylist(), bool)
         for first in range(0, len(texts), 2000):
             word, pair, sizes = _tokens(texts[first : first + 2000], hashes)
-            word_counts += np.bincount(word, minlength=WORDS)
-            head_counts += np.bincount(_heads(word, sizes), minlength=WORDS + SEGMENT)
-            pair_counts += np.bincount(pair, minlength=PAIRS)
-    whole = np.concatenate([word_counts, head_counts, pair_counts])
-    if not word_counts.any():
-        return
+            before = _heads(word, sizes)
+            inside = np.repeat(chosen[first : first + 2000], sizes)
+            for table, mine in zip(tables, (inside, slice(None)), strict=True):
+                table[:WORDS] += np.bincount(word[mine], minlength=WORDS)
+                table[WORDS : 2 * WORDS + SEGMENT] += np.bincount(before[mine], minlength=WORDS + SEGMENT)
+                table[2 * WORDS + SEGMENT :] += np.bincount(pair[mine], minlength=PAIRS)
     branch = TaskContext.get().partitionId()
-    rows = [(n, _pack(part)) for n, part in enumerate(whole.reshape(-1, SEGMENT)) if part.any()]
-    yield pa.RecordBatch.from_pydict(
-        {
-            "segment": pa.array([n for n, _ in rows], pa.int32()),
-            "branch": pa.array([branch] * len(rows), pa.int32()),
-            "counts": pa.array([c for _, c in rows], pa.binary()),
-        }
-    )
+    for model, table in enumerate(tables):
+        rows = [(n, _pack(part)) for n, part in enumerate(table.reshape(-1, SEGMENT)) if part.any()]
+        yield pa.RecordBatch.from_pydict(
+            {
+                "model": pa.array([model] * len(rows), pa.int32()),
+                "segment": pa.array([n for n, _ in rows], pa.int32()),
+                "branch": pa.array([branch] * len(rows), pa.int32()),
+                "counts": pa.array([c for _, c in rows], pa.binary()),
+            }
+        )
 
 
 def _add(rows: pa.Table) -> pa.Table:
     total = np.zeros(SEGMENT, np.uint64)
     for part in rows.column("counts"):
         total += _unpack(part.as_py())
-    return pa.table(
-        {
-            "segment": rows.column("segment").slice(0, 1),
-            "branch": rows.column("branch").slice(0, 1),
-            "counts": pa.array([_pack(total)], pa.binary()),
-        }
-    )
-
-
-def count_table(listings: DataFrame) -> np.ndarray:
-    """All counts of one model, whose number is fixed by the table sizes."""
-    parts = listings.select(F.col("description").cast("string")).mapInArrow(_count, COUNTS)
+    keys = {name: rows.column(name).slice(0, 1) for name in ("model", "segment", "branch")}
+    return pa.table({**keys, "counts": pa.array([_pack(total)], pa.binary())})
+
+
+def count_tables(listings: DataFrame) -> np.ndarray:
+    """All counts of the target and of the background model, whose number is fixed by the table sizes."""
+    chosen = F.coalesce(F.col("in_target").cast("boolean"), F.lit(False))
+    parts = listings.select(F.col("description").cast("string"), chosen.alias("in_target")).mapInArrow(_count, COUNTS)
     branch = F.pmod(F.col("branch"), F.lit(FAN_IN)).cast("int").alias("branch")
-    some = parts.select("segment", branch, "counts").groupBy("segment", "branch").applyInArrow(_add, COUNTS)
-    sums = some.groupBy("segment").applyInArrow(_add, COUNTS)
-    whole = np.zeros((2 * WORDS + SEGMENT + PAIRS) // SEGMENT * SEGMENT, np.int64).reshape(-1, SEGMENT)
-    for row in sums.select("segment", "counts").collect():
-        whole[row.segment] = _unpack(bytes(row.counts))
-    return whole.ravel()
+    some = parts.select("model", "segment", branch, "counts").groupBy("model", "segment", "branch")
+    sums = some.applyInArrow(_add, COUNTS).groupBy("model", "segment").applyInArrow(_add, COUNTS)
+    whole = np.zeros((2, (2 * WORDS + SEGMENT + PAIRS) // SEGMENT, SEGMENT), np.int64)
+    for row in sums.select("model", "segment", "counts").collect():
+        whole[row.model, row.segment] = _unpack(bytes(row.counts))
+    return whole.reshape(2, -1)
 
 
 @dataclass(frozen=True)
@@ -127,10 +126,21 @@ class Model:
         counts = counts.astype(np.float32)
         return cls(counts[:WORDS], counts[WORDS : 2 * WORDS + SEGMENT], counts[2 * WORDS + SEGMENT :])
 
-    def losses(self, word: np.ndarray, before: np.ndarray, pair: np.ndarray) -> np.ndarray:
-        """Negative log-likelihood of every word behind the one before it."""
-        alone = (self.word[word].astype(np.float64) + FLOOR) / (self.word.sum(dtype=np.float64) + FLOOR * WORDS)
-        return -np.log((self.pair[pair] + PULL * alone) / (self.head[before] + PULL))
+    def losses(
+        self, word: np.ndarray, before: np.ndarray, pair: np.ndarray, own: tuple[np.ndarray, ...], total: np.ndarray
+    ) -> np.ndarray:
+        """Negative log-likelihood of every word behind the one before it, ``own`` counts of each and ``total`` taken out."""
+        words = self.word.sum(dtype=np.float64) - total
+        alone = (np.maximum(self.word[word].astype(np.float64) - own[0], 0) + FLOOR) / (words + FLOOR * WORDS)
+        pairs = np.maximum(self.pair[pair].astype(np.float64) - own[2], 0)
+        heads = np.maximum(self.head[before].astype(np.float64) - own[1], pairs)
+        return -np.log((pairs + PULL * alone) / (heads + PULL))
+
+
+def _own_counts(numbers: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """How often each number occurs in its own text."""
+    _, at, times = np.unique(owner << 32 | numbers, return_inverse=True, return_counts=True)
+    return times[at]
 
 
 @dataclass(frozen=True)
@@ -138,32 +148,41 @@ class Scorer:
     target: Model
     background: Model
 
-    def of_texts(self, texts: list[str | None], hashes: WordHashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def of_texts(
+        self, texts: list[str | None], in_target: np.ndarray, counted: bool, hashes: WordHashes
+    ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Words, target loss and background loss of each text, summed over its words."""
         word, pair, sizes = _tokens(texts, hashes)
         before = _heads(word, sizes)
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        own = [_own_counts(x, owner) if counted else np.zeros(len(word)) for x in (word, before, pair)]
+        total = np.repeat(sizes, sizes) * counted
         ends = np.cumsum(sizes)
         sums = []
-        for model in (self.target, self.background):
-            total = np.concatenate([[0.0], np.cumsum(model.losses(word, before, pair))])
-            sums.append(total[ends] - total[ends - sizes])
+        for model, member in ((self.target, in_target[owner]), (self.background, np.ones(len(word), bool))):
+            losses = model.losses(word, before, pair, tuple(x * member for x in own), total * member)
+            run = np.concatenate([[0.0], np.cumsum(losses)])
+            sums.append(run[ends] - run[ends - sizes])
         return sizes, sums[0], sums[1]
 
-    def score(self, listings: DataFrame) -> DataFrame:
+    def score(self, listings: DataFrame, counted: bool = True) -> DataFrame:
         """(id, n_words, target_loss, background_loss, difference): mean losses per word of every ``description``.
 
-        A smaller difference, target less background, means nearer to the target.  Words are runs without ASCII white
-        space, A-Z in lower case.  A null, empty or blank description has no words and null losses.  One row per input
-        row; other columns are not read.
+        A smaller difference, target less background, means nearer to the target.  ``counted`` says that the models
+        were fitted on these listings; ``in_target`` then marks those of the target.  Words are runs without ASCII
+        white space, A-Z in lower case.  A null, empty or blank description has no words and null losses.  One row per
+        input row; repeated rows are scored like one another, each without its own counts; other columns are not read.
         """
         shared = listings.sparkSession.sparkContext.broadcast(self)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hashes = WordHashes()
             for batch in batches:
-                for first in range(0, batch.num_rows, 2000):
-                    part = batch.slice(first, 2000)
-                    sizes, target, background = shared.value.of_texts(part.column(1).to_pylist(), hashes)
+                for first in range(0, batch.num_rows, 1000):
+                    part = batch.slice(first, 1000)
+                    member = np.array(part.column(2).to_pylist(), bool)
+                    texts = part.column(1).to_pylist()
+                    sizes, target, background = shared.value.of_texts(texts, member, counted, hashes)
                     none = sizes == 0
                     count = np.maximum(sizes, 1)
                     losses = [x / count for x in (target, background, target - background)]
@@ -171,11 +190,20 @@ class Scorer:
                     names = ["id", "n_words", "target_loss", "background_loss", "difference"]
                     yield pa.RecordBatch.from_arrays(columns, names=names)
 
-        texts = listings.select(F.col("id").cast("long").alias("id"), F.col("description").cast("string"))
+        chosen = F.col("in_target").cast("boolean") if counted else F.lit(False)
+        texts = listings.select(
+            F.col("id").cast("long").alias("id"),
+            F.col("description").cast("string"),
+            F.coalesce(chosen, F.lit(False)).alias("in_target"),
+        )
         kinds = "id long, n_words long, target_loss double, background_loss double, difference double"
         return texts.mapInArrow(run, kinds)
 
 
-def fit(target: DataFrame, background: DataFrame) -> Scorer:
-    """Counts both models over every ``description`` of their listings.  Runs jobs, as fitting does."""
-    return Scorer(Model.of(count_table(target)), Model.of(count_table(background)))
+def fit(listings: DataFrame) -> Scorer:
+    """Counts both models over every ``description``, the target's over those with ``in_target``; null is false.
+
+    Runs a job, as fitting does.
+    """
+    target, background = count_tables(listings)
+    return Scorer(Model.of(target), Model.of(background))

@@ -173,6 +173,6 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = listings(spark, sf_dir)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    good = labels.filter("quality = 1").select(F.col("doc_id").alias("id")).distinct()
-    scorer = lmscore.fit(target=texts.join(good, "id", "left_semi"), background=texts)
-    return scorer.score(texts).withColumnRenamed("id", "doc_id")
+    good = labels.filter("quality = 1").select(F.col("doc_id").alias("id"), F.lit(True).alias("in_target")).distinct()
+    marked = texts.join(good, "id", "left")
+    return lmscore.fit(marked).score(marked).withColumnRenamed("id", "doc_id")
