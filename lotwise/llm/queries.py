@@ -11,6 +11,7 @@ from collections.abc import Callable
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from lotwise.llm import bpe, linededup, linequality, lmscore, neighbours, ngramjoin, packing, repeats, secrets, topk
 from lotwise.session import prepare
@@ -78,7 +79,7 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@F.arrow_udf("long")
+@F.arrow_udf(LongType())
 def ids_crc32(lists: pa.Array) -> pa.Array:
     ids, ends = lists.values.to_numpy().astype("<u4"), lists.offsets.to_numpy()
     return pa.array([zlib.crc32(ids[a:b].tobytes()) for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.int64())
