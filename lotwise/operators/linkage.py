@@ -40,9 +40,6 @@ STOP_WORDS = (
 KEY_KINDS = ("asset", "geo", "pin", "pinprice", "addr")
 #: Profiles of one key handled by one join task on each side.
 CELL_ROWS = 4_000
-#: No more keys than this are split, which bounds the broadcast list of split keys; on tables so
-#: large that it binds, the least split key still has under one millionth of all key rows.
-MOST_SPLIT_KEYS = 1_000_000
 
 _COMPARED = (
     "asset_class", "asset_key", "state", "city", "pincode", "area_sqft", "reserve_price",
@@ -255,8 +252,7 @@ def _spread(folded: DataFrame, cell_rows: int) -> DataFrame:
     kinds = F.array(*[F.col(f"k{i}") for i in range(len(KEY_KINDS))])
     keyed = folded.select("*", F.posexplode(kinds).alias("kind", "key")).filter(F.col("key").isNotNull())
     spread = folded.select("asset_class", F.explode(F.array_compact(kinds)).alias("key"))
-    hot = F.broadcast(hot_keys(spread, ("asset_class", "key"), cell_rows, MOST_SPLIT_KEYS))
-    joined = keyed.join(hot, ["asset_class", "key"], "left")
+    joined = keyed.join(hot_keys(spread, ("asset_class", "key"), cell_rows), ["asset_class", "key"], "left")
     slices = F.coalesce(F.ceil(F.col("_rows") / cell_rows).cast("int"), F.lit(1))
     return (
         joined.withColumn("slices", slices)

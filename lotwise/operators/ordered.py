@@ -1,7 +1,7 @@
 """Neighbour rows in a long history, safe when one key holds much of the table.
 
 A window over a whole key puts that key in one task.  Ordinary keys are handled that
-way; a key holding a large share of the rows is cut into segments (days, batches)
+way; a key with very many rows is cut into segments (days, batches)
 that follow its order: rows look back inside their segment, and only each segment's
 last row is carried over the boundary.
 """
@@ -13,21 +13,18 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: A key is hot above this many rows and above this share of all rows.
+#: A key is hot above this many rows, whatever the table's size.
 HOT_ROWS = 100_000
-HOT_SHARE = 20_000
 
 
-def hot_keys(rows: DataFrame, key: Sequence[str], floor: int = HOT_ROWS, share: int = HOT_SHARE) -> DataFrame:
-    """Keys with more than ``floor`` rows and more than 1/``share`` of all rows, and their ``_rows``.
+def hot_keys(rows: DataFrame, key: Sequence[str], floor: int = HOT_ROWS) -> DataFrame:
+    """Keys with more than ``floor`` rows and their ``_rows``; counts are combined before the shuffle.
 
-    By arithmetic there are fewer than ``share`` of them, whatever the table size: that is
-    the bound on which broadcasting the result rests.
+    Their number grows with the table, so joins with them carry no hint: Spark hands the list to every task only
+    where its measured size allows that.
     """
-    total = rows.agg(F.count(F.lit(1))).scalar()
     sizes = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_rows"))
-    large = F.col("_rows") > F.greatest(F.lit(floor).cast("double"), total / F.lit(float(share)))
-    return sizes.filter(large)
+    return sizes.filter(F.col("_rows") > F.lit(floor))
 
 
 def with_previous(
@@ -45,7 +42,7 @@ def with_previous(
     caller has them already; keys are not null.  The table is shuffled once, by (key, segment),
     and the join with the carried rows keeps that layout.
     """
-    hot = F.broadcast(hot_keys(rows, key) if hot is None else hot)
+    hot = hot_keys(rows, key) if hot is None else hot
     cut = rows.join(hot, list(key), "left").withColumns(
         {"_segment": F.when(F.col("_rows").isNotNull(), segment), "_value": value}
     )

@@ -126,26 +126,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
-_FILES: dict[str, int] = {}
-
-
-def dealt_out(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table, dealt over the cores when it has fewer files than there are cores.
-
-    A small table is one file and so one task; the rows are still narrow here.  A table of
-    many files is read as it lies, without a shuffle.
-    """
-    rows, path, cores = table(spark, sf_dir, name), f"{sf_dir}/{name}", spark.sparkContext.defaultParallelism
-    if path not in _FILES:
-        _FILES[path] = len(rows.inputFiles())
-    return rows.repartition(cores) if _FILES[path] < cores else rows
-
-
-def relation(spark: SparkSession, sf_dir: str, sql: str, deal: str | None = None) -> DataFrame:
-    """A portable SELECT over the given tables, as a DataFrame; ``deal`` names its largest table."""
-    names = set(re.findall(r"\{(\w+)\}", sql))
-    used = {name: (dealt_out if name == deal else table)(spark, sf_dir, name) for name in names}
-    return spark.sql(sql, **used)
+def relation(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    """A portable SELECT over the given tables, as a DataFrame."""
+    return spark.sql(sql, **{name: table(spark, sf_dir, name) for name in set(re.findall(r"\{(\w+)\}", sql))})
 
 
 def plain(sql: str) -> str:
@@ -159,7 +142,7 @@ def given(**relations: str) -> str:
 
 
 def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return relation(spark, sf_dir, LISTINGS, deal="orders")
+    return relation(spark, sf_dir, LISTINGS)
 
 
 def clock(text: str = CLOCK) -> Column:

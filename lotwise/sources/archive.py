@@ -23,12 +23,12 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
 def append_archive(spark: SparkSession, path: str, docs: DataFrame, first_write: bool = False) -> None:
     """Append documents whose key is new; a repeated call adds nothing.
 
-    Files are clustered by their folder before the write, and a busy folder is split by hash
-    of the key so that one source's day is not one task.
+    Rows are brought together by folder before the write in parts of the size that the session advises: small
+    folders share a task, and one source's busy day is split over as many as its bytes need.
     """
     known = spark.createDataFrame([], ARCHIVE_SCHEMA) if first_write else read_archive(spark, path)
     fresh = new_for_archive(known, docs).withColumn("fetched_date", F.to_date("fetched_at"))
-    spread = fresh.repartition("source_id", "fetched_date", F.pmod(F.xxhash64("storage_key"), F.lit(32)))
+    spread = fresh.hint("rebalance", "source_id", "fetched_date")
     spread.write.mode("append").partitionBy("source_id", "fetched_date").parquet(path)
 
 
@@ -39,6 +39,4 @@ def append_table(rows: DataFrame, path: str, by: list[str]) -> None:
 
 def write_snapshot(rows: DataFrame, path: str) -> None:
     """A new listing snapshot in its own folder; the one before stays readable."""
-    rows.repartition("source_id", F.pmod(F.xxhash64("external_id"), F.lit(64))).write.mode("error").partitionBy(
-        "source_id"
-    ).parquet(path)
+    rows.hint("rebalance", "source_id").write.mode("error").partitionBy("source_id").parquet(path)

@@ -15,9 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# A streamed fragment, and the largest object looked for.
+# Fixed value: a streamed fragment.
 FRAGMENT = r'(?s)self\.__next_f\.push\(\[\d+,\s*(".*?")\]\)'
-MAX_OBJECT_CHARS = 200_000
 
 _STRUCTURE = re.compile(r'\\.|["{}]', re.DOTALL)
 
@@ -34,50 +33,68 @@ def extract_payload(html: Column) -> Column:
     return F.array_join(F.array_compact(decoded), "")
 
 
-def _closing_brace(payload: str, start: int) -> int | None:
-    """End of the object opened at ``start``; braces inside strings do not count."""
-    depth, quoted = 0, False
-    for token in _STRUCTURE.finditer(payload, start, start + MAX_OBJECT_CHARS):
+def _pairs_of_braces(payload: str, quoted: bool) -> dict[int, int]:
+    """End of every object, by its start, if the page begins inside or outside a string; braces in strings do not count."""
+    open_braces: list[int] = []
+    ends: dict[int, int] = {}
+    for token in _STRUCTURE.finditer(payload):
         mark = token.group()
         if mark == '"':
             quoted = not quoted
-        elif mark == "{" and not quoted:
-            depth += 1
-        elif mark == "}" and not quoted:
-            depth -= 1
-            if depth == 0:
-                return token.start()
-    return None
+        elif quoted:
+            continue
+        elif mark == "{":
+            open_braces.append(token.start())
+        elif mark == "}" and open_braces:
+            ends[open_braces.pop()] = token.start()
+    return ends
 
 
-def objects_with(payload: str, key: str) -> Iterator[tuple[str, dict]]:
-    """(text, record) of each JSON object that directly encloses ``"key"``, in order.
+def objects_by_key(payload: str, keys: Sequence[str]) -> dict[str, list[tuple[str, dict]]]:
+    """Per key, (text, record) of each JSON object that directly encloses ``"key"``, in order.
 
-    One forward pass keeps the stack of open braces, so finding the enclosing object is
-    linear in the page however often the key occurs.  Braces inside strings count here.
+    One forward pass for all keys keeps the stack of open braces, where braces inside strings count too, and one
+    more pairs braces outside strings.  Page text before an object may leave a quote open, so an object that the
+    pairing misses is looked for as if the page had begun inside a string.  All is linear in the page, however
+    large its objects are and however often a key occurs.
     """
     open_braces: list[int] = []
-    starts: dict[int, None] = {}
-    for token in re.finditer(r'[{}]|"' + re.escape(key) + '"', payload):
+    starts: dict[str, dict[int, None]] = {key: {} for key in keys}
+    wanted = re.compile("[{}]|" + "|".join(f'"{re.escape(key)}"' for key in keys))
+    for token in wanted.finditer(payload):
         mark = token.group()
         if mark == "{":
             open_braces.append(token.start())
         elif mark == "}":
             if open_braces:
                 open_braces.pop()
-        elif open_braces and token.start() - open_braces[-1] < MAX_OBJECT_CHARS:
-            starts[open_braces[-1]] = None
-    for start in starts:
-        end = _closing_brace(payload, start)
-        if end is None:
-            continue
-        text = payload[start : end + 1]
-        try:
-            record = json.loads(text)
-        except json.JSONDecodeError:
-            continue
-        if isinstance(record, dict) and key in record:
-            yield text, record
+        elif open_braces:
+            starts[mark[1:-1]][open_braces[-1]] = None
+
+    pairings: list[dict[int, int]] = []
+    records: dict[int, tuple[str, dict] | None] = {}
+
+    def record_at(start: int) -> tuple[str, dict] | None:
+        for quoted in (False, True):
+            if len(pairings) == quoted:
+                pairings.append(_pairs_of_braces(payload, quoted))
+            if start in pairings[quoted]:
+                text = payload[start : pairings[quoted][start] + 1]
+                try:
+                    record = json.loads(text)
+                except json.JSONDecodeError:
+                    return None
+                return (text, record) if isinstance(record, dict) else None
+        return None
+
+    found: dict[str, list[tuple[str, dict]]] = {}
+    for key in keys:
+        for start in starts[key]:
+            if start not in records:
+                records[start] = record_at(start)
+        objects = [records[start] for start in starts[key]]
+        found[key] = [o for o in objects if o is not None and key in o[1]]
+    return found
 
 
 def find_objects(pages: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -88,8 +105,8 @@ def find_objects(pages: DataFrame, keys: Sequence[str]) -> DataFrame:
             rows = [
                 (url, key, position, text, len(record))
                 for url, payload in zip(batch["url"], batch["payload"], strict=True)
-                for key in keys
-                for position, (text, record) in enumerate(objects_with(payload or "", key))
+                for key, objects in objects_by_key(payload or "", keys).items()
+                for position, (text, record) in enumerate(objects)
             ]
             yield pd.DataFrame(rows, columns=["url", "key", "position", "object_json", "n_fields"])
 
@@ -113,8 +130,8 @@ def with_records(pages: DataFrame, keys: Sequence[str], without: Sequence[str] =
     names = [f"record_{key}" for key in keys]
     dropped = frozenset(without)
 
-    def best(payload: str | None, key: str) -> str | None:
-        text, record = max(objects_with(payload or "", key), key=lambda found: len(found[1]), default=(None, {}))
+    def best(objects: list[tuple[str, dict]]) -> str | None:
+        text, record = max(objects, key=lambda found: len(found[1]), default=(None, {}))
         if dropped.isdisjoint(record):
             return text
         return json.dumps({name: value for name, value in record.items() if name not in dropped}, ensure_ascii=False)
@@ -122,8 +139,9 @@ def with_records(pages: DataFrame, keys: Sequence[str], without: Sequence[str] =
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = batch[[f.name for f in kept]].copy()
+            objects = [objects_by_key(payload or "", keys) for payload in batch["payload"]]
             for key, name in zip(keys, names, strict=True):
-                out[name] = [best(payload, key) for payload in batch["payload"]]
+                out[name] = [best(found[key]) for found in objects]
             yield out
 
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [f"`{n}` string" for n in names])

@@ -1,6 +1,7 @@
 """State folds: sequences, hot keys cut into segments, idempotency."""
 
 import itertools
+import json
 import random
 from datetime import datetime, timedelta
 
@@ -67,7 +68,7 @@ def test_previous_row_is_the_same_for_hot_keys(spark):
         F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 200).alias("k"), F.col("id").alias("n"), F.md5(F.col("id").cast("string")).alias("v")
     )
     plain = ordered.with_previous(rows, ["k"], ["n"], F.col("n"), F.col("v"))
-    hot = ordered.hot_keys(rows, ["k"], floor=100, share=10)
+    hot = ordered.hot_keys(rows, ["k"], floor=100)
     assert [r.k for r in hot.collect()] == [0]
     cut = ordered.with_previous(rows, ["k"], ["n"], F.expr("n div 500"), F.col("v"), hot=hot)
     assert cut.exceptAll(plain).count() == 0 and cut.count() == 4000
@@ -114,4 +115,12 @@ def test_fingerprint_ignores_confidence(spark):
 
 def test_objects_in_a_payload():
     page = '{"k":1} x {"a":{"k":2,"b":"}{"},"s":"\\"}"} {"k":[1,{"k":3}],"c":0} {"k":'
-    assert [text for text, _ in payload.objects_with(page, "k")] == ['{"k":1}', '{"k":2,"b":"}{"}', '{"k":[1,{"k":3}],"c":0}', '{"k":3}']
+    assert [text for text, _ in payload.objects_by_key(page, ["k"])["k"]] == ['{"k":1}', '{"k":2,"b":"}{"}', '{"k":[1,{"k":3}],"c":0}', '{"k":3}']
+
+
+def test_large_and_unclosed_objects_are_read_in_one_pass():
+    large = json.dumps({"k": 1, "text": "{\\" + "x" * 300_000, "n": 2})
+    page = 'say "' + large + '{"other":{"k":5}}' + '{"k":' * 20_000
+    found = payload.objects_by_key(page, ["k", "other", "absent"])
+    assert [r for _, r in found["k"]] == [json.loads(large), {"k": 5}] and found["absent"] == []
+    assert found["other"] == [('{"other":{"k":5}}', {"other": {"k": 5}})]

@@ -156,3 +156,11 @@ def test_price_steps_over_a_busy_asset(spark):
     steps = {r.id: r.change for r in linkage.price_steps(frame(spark, rows)).collect()}
     assert len(steps) == 29 and steps[1] == D("-0.0100")
     assert linkage.price_steps(frame(spark, rows)).agg(F.sum("previous_id")).first()[0] == sum(range(29))
+
+
+def test_a_key_is_split_by_its_own_size_alone(spark):
+    rows = [listing(n, address=f"Lot {n}", locality=None, city=None, area_sqft=None, reserve_price=D(5_000_000 + n)) for n in range(31)]
+    rows += [listing(1000 + n, pincode=str(600_000 + n), reserve_price=D(100_000 * n), locality=None, city=None) for n in range(300)]
+    spread = linkage._spread(linkage.profiles(frame(spark, rows)), cell_rows=30)
+    slices = {r.key: r.slices for r in spread.select("key", "slices").distinct().collect()}
+    assert slices["pinprice:400053:50"] == 2 and all(n == 1 for k, n in slices.items() if k.startswith("pinprice:6"))
