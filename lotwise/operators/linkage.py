@@ -123,10 +123,14 @@ def profiles(listings: DataFrame, first_ids: Column | None = None) -> DataFrame:
 
 
 def profile_members(listings: DataFrame, folded: DataFrame) -> DataFrame:
-    """(id, profile_id) of every listing, to widen profile pairs where single listings are wanted."""
-    a, b = features(listings).alias("a"), folded.alias("b")
+    """(id, profile_id) of every listing, to widen profile pairs where single listings are wanted.
+
+    Joined on one hash of the compared attributes, which are then held against each other.
+    """
+    hashed = F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in _COMPARED]).alias("_hash")
+    a, b = features(listings).select("*", hashed).alias("a"), folded.select("*", hashed).alias("b")
     same = reduce(lambda x, y: x & y, [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in _COMPARED])
-    return a.join(b, same).select("a.id", "b.profile_id")
+    return a.join(b, (F.col("a._hash") == F.col("b._hash")) & same).select("a.id", "b.profile_id")
 
 
 # --- scoring --------------------------------------------------------------
@@ -210,11 +214,17 @@ def with_similarity(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return averaged.withColumns({"score": score, "reasons": reasons})
 
 
+def starts_differ(a: str, b: str) -> Column:
+    """Both auction starts are known and not equal."""
+    start_a, start_b = F.col(f"{a}.auction_start_at"), F.col(f"{b}.auction_start_at")
+    return F.coalesce(start_a != start_b, F.lit(False))
+
+
 def _a_is_earlier(a: str, b: str, id_name: str) -> Column:
     """By start when both are known (equal starts: smaller id), else by id."""
-    start_a, start_b = F.col(f"{a}.auction_start_at"), F.col(f"{b}.auction_start_at")
     by_id = F.col(f"{a}.{id_name}") <= F.col(f"{b}.{id_name}")
-    return F.when(start_a.isNotNull() & start_b.isNotNull() & (start_a != start_b), start_a < start_b).otherwise(by_id)
+    by_start = F.col(f"{a}.auction_start_at") < F.col(f"{b}.auction_start_at")
+    return F.when(starts_differ(a, b), by_start).otherwise(by_id)
 
 
 def verdict(score: Column, a: str = "a", b: str = "b") -> tuple[Column, Column]:
@@ -307,7 +317,8 @@ def _pair_counts() -> tuple[Column, Column]:
 
 
 def scored_pairs(folded: DataFrame, cell_rows: int = CELL_ROWS, keep_distinct: bool = False) -> DataFrame:
-    """Verdict per profile pair: earlier and later profile, listing pairs, relationship, score, reasons."""
+    """Verdict per profile pair: earlier and later profile and their members, whether their starts give the order
+    (else each listing pair goes by its own ids), listing pairs, relationship, score, reasons."""
     every, leading = _pair_counts()
     pairs = with_similarity(candidate_pairs(folded, cell_rows))
     if not keep_distinct:
@@ -317,6 +328,9 @@ def scored_pairs(folded: DataFrame, cell_rows: int = CELL_ROWS, keep_distinct: b
     return pairs.select(
         F.when(first, F.col("a.profile_id")).otherwise(F.col("b.profile_id")).alias("earlier_id"),
         F.when(first, F.col("b.profile_id")).otherwise(F.col("a.profile_id")).alias("later_id"),
+        F.when(first, F.col("a.members")).otherwise(F.col("b.members")).alias("earlier_members"),
+        F.when(first, F.col("b.members")).otherwise(F.col("a.members")).alias("later_members"),
+        starts_differ("a", "b").alias("by_start"),
         every.alias("pairs"),
         leading.alias("leading_pairs"),
         relationship.alias("relationship"),
@@ -375,30 +389,44 @@ def tally(pairs: DataFrame) -> DataFrame:
 
 
 def rank_matches(pairs: DataFrame) -> DataFrame:
-    """Matches seen from each side; order by score where one listing's list is wanted."""
-    seen = F.explode(
-        F.array(
-            F.struct(F.col("earlier_id").alias("id"), F.col("later_id").alias("other_id")),
-            F.struct(F.col("later_id").alias("id"), F.col("earlier_id").alias("other_id")),
-        )
-    )
-    return pairs.filter(F.col("earlier_id") != F.col("later_id")).select(
-        seen.alias("m"), "relationship", "score"
-    ).select("m.id", "m.other_id", "relationship", "score")
+    """Profile matches seen from each side, with the members of the other; a profile of copies meets itself once."""
 
+    def side(own: str, other: str) -> Column:
+        return F.struct(
+            F.col(f"{own}_id").alias("id"), F.col(f"{own}_members").alias("members"),
+            F.col(f"{other}_id").alias("other_id"), F.col(f"{other}_members").alias("other_members"),
+        )
 
-def best_match(pairs: DataFrame) -> DataFrame:
-    """The highest scored partner of each profile, smaller id on ties: one combined aggregate."""
-    return (
-        rank_matches(pairs)
-        .groupBy("id")
-        .agg(
-            F.max(F.struct("score", (-F.col("other_id")).alias("minus_id"), "relationship")).alias("best"),
-            F.count(F.lit(1)).alias("matches"),
-        )
-        .select(
-            "id", (-F.col("best.minus_id")).alias("other_id"), "best.relationship", "best.score", "matches"
-        )
+    both = F.array(side("earlier", "later"), side("later", "earlier"))
+    itself = F.col("earlier_id") == F.col("later_id")
+    seen = F.explode(F.when(itself, F.slice(both, 1, 1)).otherwise(both)).alias("m")
+    return pairs.select(seen, "relationship", "score").select("m.*", "relationship", "score")
+
+
+def best_match(listings: DataFrame, folded: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Per listing with a match: the highest scored other listing, smaller id on ties, and the number of matches.
+
+    Worked out per profile, where one combined aggregate suffices, and widened to listings at the end.  The best of
+    another profile is its smallest id, which names it; among copies it is the smallest id that is not the
+    listing's own.
+    """
+    fellow = F.col("id") == F.col("other_id")
+    found = F.struct("score", (-F.col("other_id")).alias("minus_id"), "relationship")
+    ranked = rank_matches(pairs).groupBy(F.col("id").alias("profile_id")).agg(
+        F.max(F.when(~fellow, found)).alias("outside"),
+        F.max(F.when(fellow, found)).alias("inside"),
+        F.sum(F.when(fellow, F.col("members") - 1).otherwise(F.col("other_members"))).alias("matches"),
+    )
+    members = profile_members(listings, folded)
+    second = members.filter(F.col("id") != F.col("profile_id")).groupBy("profile_id").agg(F.min("id").alias("second_id"))
+    rows = members.join(ranked.join(second, "profile_id", "left"), "profile_id")
+    nearest = F.when(F.col("id") == F.col("profile_id"), F.col("second_id")).otherwise(F.col("profile_id"))
+    copy = F.when(
+        F.col("inside").isNotNull(),
+        F.struct(F.col("inside.score").alias("score"), (-nearest).alias("minus_id"), F.col("inside.relationship").alias("relationship")),
+    )
+    return rows.withColumn("best", F.greatest("outside", copy)).select(
+        "id", (-F.col("best.minus_id")).alias("other_id"), "best.relationship", "best.score", "matches"
     )
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lotwise.operators import linkage
 from lotwise.plans.catalogue import query
-from lotwise.plans.relations import LISTINGS, given, listings
+from lotwise.plans.relations import LISTINGS, given, listings, plain, relation
 
 STOP_SQL = ", ".join(f"'{word}'" for word in linkage.STOP_WORDS)
 
@@ -81,6 +81,18 @@ SCORED = f"""{PAIRS},
        || '% below previous reserve' ELSE 'later auction round' END END], lambda r: r IS NOT NULL), '; ') AS reasons,
    CASE WHEN sa IS NOT NULL AND sb IS NOT NULL AND sa <> sb THEN sa < sb ELSE a_id <= b_id END AS a_first FROM verdicts)"""
 
+#: The compared columns of the listings, every third listing once more under another id.
+_COLUMNS = "asset_class, asset_key, state, city, pincode, area_sqft, reserve_price, auction_start_at, address, locality"
+TWINS = f"""SELECT id, {_COLUMNS} FROM ({LISTINGS}) one
+UNION ALL SELECT id + 700000000, {_COLUMNS} FROM ({LISTINGS}) two WHERE id % 3 = 0
+UNION ALL SELECT id + 800000000, {_COLUMNS} FROM ({LISTINGS}) three WHERE id % 9 = 0"""
+SCORED_TWINS = SCORED.replace(plain(LISTINGS), plain(TWINS), 1)
+
+
+def twins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relation(spark, sf_dir, TWINS)
+
+
 EDGES = """SELECT CASE WHEN a_first THEN a_pid ELSE b_pid END AS earlier_id, CASE WHEN a_first THEN b_pid ELSE a_pid END
  AS later_id, count(*) AS pairs, relationship, round(score, 6) AS score, reasons FROM told"""
 
@@ -146,17 +158,25 @@ def token_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", F.round(overlap, 9).alias("overlap"))
 
 
-@query(
-    "h4_similarity",
-    f"""{SCORED} SELECT least(a_pid, b_pid) AS low_id, greatest(a_pid, b_pid) AS high_id, round(score, 6) AS score
-    FROM told GROUP BY ALL""",
-)
-def similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = _pairs(spark, sf_dir, keep_distinct=True)
+SIMILARITY = """SELECT least(a_pid, b_pid) AS low_id, greatest(a_pid, b_pid) AS high_id, round(score, 6) AS score,
+    count(*) AS pairs FROM told GROUP BY 1, 2, score"""
+
+
+def _similarity(rows: DataFrame) -> DataFrame:
+    pairs = linkage.scored_pairs(linkage.profiles(rows), keep_distinct=True)
     ids = F.col("earlier_id"), F.col("later_id")
-    return pairs.select(
-        F.least(*ids).alias("low_id"), F.greatest(*ids).alias("high_id"), F.round("score", 6).alias("score")
-    )
+    low, high = F.least(*ids).alias("low_id"), F.greatest(*ids).alias("high_id")
+    return pairs.select(low, high, F.round("score", 6).alias("score"), "pairs")
+
+
+@query("h4_similarity", f"{SCORED} {SIMILARITY}")
+def similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _similarity(listings(spark, sf_dir))
+
+
+@query("h4_similarity_with_copies", f"{SCORED_TWINS} {SIMILARITY}")
+def similarity_with_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _similarity(twins(spark, sf_dir))
 
 
 @query("h5_classify", f"{SCORED} {EDGES} WHERE relationship <> 'distinct' GROUP BY ALL")
@@ -167,13 +187,29 @@ def classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(
-    "h6_time_order",
-    f"""{SCORED} SELECT CASE WHEN a_first THEN a_pid ELSE b_pid END AS earlier_id,
-    CASE WHEN a_first THEN b_pid ELSE a_pid END AS later_id FROM told GROUP BY ALL""",
-)
+TIME_ORDER = """, ordered AS (SELECT least(a_pid, b_pid) AS low_id, greatest(a_pid, b_pid) AS high_id,
+    coalesce(sa <> sb, FALSE) AS by_start, CASE WHEN sa < sb THEN a_pid WHEN sb < sa THEN b_pid END AS earlier_id FROM told)
+    SELECT low_id, high_id, by_start, earlier_id, count(*) AS pairs FROM ordered GROUP BY ALL"""
+
+
+def _time_order(rows: DataFrame) -> DataFrame:
+    """Where the starts are equal or unknown every listing pair goes by its own ids, so no profile is the earlier."""
+    pairs = linkage.scored_pairs(linkage.profiles(rows), keep_distinct=True)
+    ids = F.col("earlier_id"), F.col("later_id")
+    return pairs.select(
+        F.least(*ids).alias("low_id"), F.greatest(*ids).alias("high_id"), "by_start",
+        F.when(F.col("by_start"), F.col("earlier_id")).alias("earlier_id"), "pairs",
+    )
+
+
+@query("h6_time_order", f"{SCORED} {TIME_ORDER}")
 def time_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pairs(spark, sf_dir, keep_distinct=True).select("earlier_id", "later_id")
+    return _time_order(listings(spark, sf_dir))
+
+
+@query("h6_time_order_with_copies", f"{SCORED_TWINS} {TIME_ORDER}")
+def time_order_with_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _time_order(twins(spark, sf_dir))
 
 
 @query(
@@ -216,16 +252,27 @@ def find_for(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(
-    "f8_best_match",
-    f"""{SCORED}, both_ways AS (SELECT a_pid AS id, b_pid AS other_id, relationship, score FROM told WHERE relationship <> 'distinct'
-      UNION ALL SELECT b_pid, a_pid, relationship, score FROM told WHERE relationship <> 'distinct')
+BEST_MATCH = """, both_ways AS (SELECT a_id AS id, b_id AS other_id, relationship, score FROM told WHERE relationship <> 'distinct'
+      UNION ALL SELECT b_id, a_id, relationship, score FROM told WHERE relationship <> 'distinct')
     SELECT id, other_id, relationship, round(score, 6) AS score,
     matches FROM (SELECT *, count(*) OVER (PARTITION BY id) AS matches,
-    row_number() OVER (PARTITION BY id ORDER BY score DESC, other_id) AS place FROM both_ways) WHERE place = 1""",
-)
+    row_number() OVER (PARTITION BY id ORDER BY score DESC, other_id) AS place FROM both_ways) WHERE place = 1"""
+
+
+def _best_match(rows: DataFrame) -> DataFrame:
+    folded = linkage.profiles(rows)
+    found = linkage.best_match(rows, folded, linkage.scored_pairs(folded))
+    return found.withColumn("score", F.round("score", 6))
+
+
+@query("f8_best_match", f"{SCORED} {BEST_MATCH}")
 def best_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linkage.best_match(_pairs(spark, sf_dir)).withColumn("score", F.round("score", 6))
+    return _best_match(listings(spark, sf_dir))
+
+
+@query("f8_best_match_with_copies", f"{SCORED_TWINS} {BEST_MATCH}")
+def best_match_with_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _best_match(twins(spark, sf_dir))
 
 
 @query(

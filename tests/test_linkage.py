@@ -164,3 +164,17 @@ def test_a_key_is_split_by_its_own_size_alone(spark):
     spread = linkage._spread(linkage.profiles(frame(spark, rows)), cell_rows=30)
     slices = {r.key: r.slices for r in spread.select("key", "slices").distinct().collect()}
     assert slices["pinprice:400053:50"] == 2 and all(n == 1 for k, n in slices.items() if k.startswith("pinprice:6"))
+
+
+def test_best_match_equals_find_for_on_copies(spark):
+    rows = random_rows(60, seed=9)
+    rows += [dict(r, id=r["id"] + 1000) for r in rows[:30]] + [dict(r, id=r["id"] + 2000) for r in rows[:10]]
+    data = frame(spark, rows)
+    folded = linkage.profiles(data)
+    best = {r.id: r for r in linkage.best_match(data, folded, linkage.scored_pairs(folded, cell_rows=7)).collect()}
+    for number in (rows[0]["id"], rows[3]["id"] + 1000, rows[5]["id"] + 2000, rows[40]["id"], rows[55]["id"]):
+        matches = linkage.find_for(data, number).collect()
+        assert (number in best) == bool(matches)
+        if matches:
+            found = best[number]
+            assert (found.other_id, found.relationship, found.matches) == (matches[0].other_id, matches[0].relationship, len(matches))
