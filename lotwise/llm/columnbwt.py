@@ -6,6 +6,9 @@ from the smallest common prefix between two occurrences of that symbol.  Transfo
 files that every round reads and writes from beginning to end; they are unnamed scratch of the running task, gone
 with it, and never read by another.  No suffix array is kept: the finished transform is walked from the strings'
 ends to find each suffix's place.
+
+For an even width a symbol is two bytes, and every string is two sequences, from its first and its second byte: the
+suffixes are the same, the rounds half as many.
 """
 
 from __future__ import annotations
@@ -15,88 +18,103 @@ from collections.abc import Sequence
 
 import numpy as np
 
-#: Stands before a whole string; UTF-8 has no such byte.
-START = 255
+from lotwise.llm.wire import spread
+
+#: Stands before a whole sequence; UTF-8 has no such bytes.
+START = 0xFFFF
 
 
 class _Sequential:
-    """A column of bytes in two scratch files: the one of the last round is read, the other written."""
+    """A column in two scratch files: the one of the last round is read, the other written."""
 
-    def __init__(self):
-        self.files, self.size = [tempfile.TemporaryFile(), tempfile.TemporaryFile()], 0
+    def __init__(self, kind: type):
+        self.files, self.kind, self.size = [tempfile.TemporaryFile(), tempfile.TemporaryFile()], np.dtype(kind), 0
 
     def read(self) -> np.ndarray:
         self.files[0].seek(0)
-        return np.frombuffer(self.files[0].read(self.size), np.uint8)
+        return np.frombuffer(self.files[0].read(self.size), self.kind)
 
     def write(self, values: np.ndarray) -> None:
         self.files.reverse()
         self.files[0].seek(0)
-        self.files[0].write(values.tobytes())
+        self.files[0].write(values.data)
         self.files[0].flush()
-        self.size = len(values)
+        self.size = values.nbytes
 
     def close(self) -> None:
         for file in self.files:
             file.close()
 
 
-def _least_between(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """min(values[low + 1 : high + 1]) for every pair low < high."""
-    by = np.argsort(low, kind="stable")
-    ends = np.empty(2 * len(by), np.int64)
-    ends[0::2], ends[1::2] = low[by] + 1, high[by] + 1
-    out = np.empty(len(by), np.uint8)
-    out[by] = np.minimum.reduceat(np.append(values, np.uint8(0)), ends)[0::2]
-    return out
+def _least(values: np.ndarray, before: np.ndarray, at: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """min(values[before + 1 : at + 1]) and min(values[at + 1 : after + 1]), with before < at < after."""
+    ends = np.empty((len(at), 3), np.int64)
+    ends[:, 0], ends[:, 1], ends[:, 2] = before + 1, at + 1, after + 1
+    found = np.minimum.reduceat(np.append(values, np.zeros(2, np.uint8)), ends.ravel())
+    return found[0::3], found[1::3]
+
+
+def _sequences(strings: Sequence[bytes], unit: int) -> tuple[np.ndarray, np.ndarray]:
+    """All symbols, and the length of each sequence: every string from its first byte, then from its second."""
+    data = np.frombuffer(b"".join(strings), np.uint8).astype(np.uint16)
+    sizes = np.array(list(map(len, strings)), dtype=np.int64)
+    starts = np.cumsum(sizes) - sizes
+    if unit == 1:
+        return data, sizes
+    symbols, lengths = [], []
+    for shift in (0, 1):
+        counts = np.maximum(sizes - shift, 0) // 2
+        nth = spread(np.zeros(len(counts), np.int64), counts)
+        place = np.repeat(starts + shift, counts) + 2 * nth
+        symbols.append(data[place] << 8 | data[place + 1])
+        lengths.append(counts)
+    return np.concatenate(symbols), np.concatenate(lengths)
 
 
 def repeated_starts(strings: Sequence[bytes], width: int) -> list[np.ndarray]:
     """Per string and start, whether the ``width`` bytes from there also begin at another place of the collection.
 
-    ``width`` is at most 254; strings hold no byte 255.
+    ``width`` is at most 254; strings are parts of UTF-8 texts.
     """
-    total = len(strings)
-    lengths = np.array(list(map(len, strings)), dtype=np.int64)
-    if not total:
+    if not strings:
         return []
-    data = np.frombuffer(b"".join(strings) + b"\0", np.uint8)
+    unit = 1 if width % 2 else 2
+    data, lengths = _sequences(strings, unit)
+    data = np.append(data, np.uint16(0))
+    total, most, depth = len(lengths), int(lengths.max()), width // unit
     ends = np.cumsum(lengths)
-    transform, prefixes = _Sequential(), _Sequential()
+    transform, prefixes = _Sequential(np.uint16), _Sequential(np.uint8)
     try:
-        last = np.where(lengths > 0, data[np.maximum(ends - 1, 0)], START).astype(np.uint8)
-        transform.write(last)
+        transform.write(np.where(lengths > 0, data[np.maximum(ends - 1, 0)], START).astype(np.uint16))
         prefixes.write(np.zeros(total, np.uint8))
         place = np.arange(total)
         active = np.flatnonzero(lengths > 0)
-        for length in range(1, int(lengths.max()) + 1):
+        for length in range(1, most + 1):
             active = active[lengths[active] >= length]
             symbols, common = transform.read(), prefixes.read()
+            count = len(symbols)
             order = np.argsort(symbols, kind="stable")
+            rank_of = np.empty(count, np.int32)
+            rank_of[order] = np.arange(count, dtype=np.int32)
             at = place[active]
-            keys = (symbols[order].astype(np.int64) << 40) | order
-            rank = np.searchsorted(keys, (symbols[at].astype(np.int64) << 40) | at)
-            new = total + rank
-            first = symbols[at]
-            before = order[np.maximum(rank - 1, 0)]
-            after = order[np.minimum(rank + 1, len(order) - 1)]
+            by = np.argsort(at)
+            active, at = active[by], at[by]
+            rank, first = rank_of[at], symbols[at]
+            new = total + rank.astype(np.int64)
+            before, after = order[np.maximum(rank - 1, 0)], order[np.minimum(rank + 1, count - 1)]
             has_before = (rank > 0) & (symbols[before] == first)
-            has_after = (rank + 1 < len(order)) & (symbols[after] == first)
+            has_after = (rank + 1 < count) & (symbols[after] == first)
+            before, after = np.where(has_before, before, at - 1), np.where(has_after, after, at + 1)
+            left, right = _least(common, before, at, after)
 
-            grown = len(symbols) + len(active)
-            old = np.ones(grown, bool)
+            old = np.ones(count + len(active), bool)
             old[new] = False
-            wider, deeper = np.empty(grown, np.uint8), np.empty(grown, np.uint8)
+            wider, deeper = np.empty(len(old), np.uint16), np.empty(len(old), np.uint8)
             wider[old], deeper[old] = symbols, common
             ahead = data[np.maximum(ends[active] - length - 1, 0)]
             wider[new] = np.where(lengths[active] > length, ahead, START)
-            deeper[new] = 0
-            if has_before.any():
-                least = _least_between(common, before[has_before], at[has_before])
-                deeper[new[has_before]] = np.minimum(least, width - 1) + 1
-            if has_after.any():
-                least = _least_between(common, at[has_after], after[has_after])
-                deeper[new[has_after] + 1] = np.minimum(least, width - 1) + 1
+            deeper[new] = np.where(has_before, np.minimum(left, depth - 1) + 1, 0)
+            deeper[new[has_after] + 1] = np.minimum(right[has_after], depth - 1) + 1
             transform.write(wider)
             prefixes.write(deeper)
             place[active] = new
@@ -107,15 +125,19 @@ def repeated_starts(strings: Sequence[bytes], width: int) -> list[np.ndarray]:
         prefixes.close()
     step = np.empty(len(symbols), np.int64)
     step[np.argsort(symbols, kind="stable")] = total + np.arange(len(symbols))
-    known = [np.zeros(max(0, n - width + 1), bool) for n in lengths]
-    flat = np.concatenate(known) if known else np.zeros(0, bool)
-    sizes = np.array(list(map(len, known)))
-    firsts = np.cumsum(sizes) - sizes
+
+    sizes = np.array(list(map(len, strings)), dtype=np.int64)
+    starts = np.maximum(sizes - width + 1, 0)
+    flat = np.zeros(int(starts.sum()), bool)
+    firsts = np.cumsum(starts) - starts
+    string = np.arange(total) % len(sizes)
+    shift = np.arange(total) // len(sizes)
     place, active = np.arange(total), np.arange(total)
-    for length in range(1, int(lengths.max()) + 1):
+    for length in range(1, most + 1):
         active = active[lengths[active] >= length]
         place[active] = step[place[active]]
-        if length >= width:
+        if length >= depth:
             at = place[active]
-            flat[firsts[active] + lengths[active] - length] = (common[at] >= width) | (common[at + 1] >= width)
-    return np.split(flat, np.cumsum(sizes)[:-1])
+            start = shift[active] + unit * (lengths[active] - length)
+            flat[firsts[string[active]] + start] = (common[at] >= depth) | (common[at + 1] >= depth)
+    return np.split(flat, np.cumsum(starts)[:-1])

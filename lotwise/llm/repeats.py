@@ -63,8 +63,11 @@ def powers() -> list[np.ndarray]:
 
 
 def gram_of(width: int) -> int:
-    """Bytes of the strings whose hashes are compared: a power of two, well below the width."""
-    return 1 << max(0, min(32, width // 6).bit_length() - 1)
+    """Bytes of the strings whose hashes are compared: the largest power of two within two thirds of the width.
+
+    The longer it is, the fewer short phrases bring runs together that share no string of the full width.
+    """
+    return 1 << max(0, (2 * width // 3).bit_length() - 1)
 
 
 @dataclass
