@@ -66,12 +66,20 @@ def run_looks_healthy(discovered: Column, fetched: Column, failed: Column, parse
     )
 
 
-def health_rows(reports: DataFrame, notes: DataFrame) -> DataFrame:
-    """Rows to append to the health history."""
+def run_times(attempts: DataFrame) -> DataFrame:
+    """When each run of a source ended, and its seconds from the first attempt to the last."""
+    first, last = F.min("attempted_at"), F.max("attempted_at")
+    took = ((F.unix_micros(last) - F.unix_micros(first)) / F.lit(1_000_000)).cast("decimal(10,2)")
+    return attempts.groupBy("run_id", "source_id").agg(last.alias("ran_at"), took.alias("duration_seconds"))
+
+
+def health_rows(reports: DataFrame, notes: DataFrame, times: DataFrame) -> DataFrame:
+    """Rows to append to the health history, which ``check_health`` reads."""
     seen = F.col("listings_created") + F.col("listings_updated") + F.col("listings_unchanged")
     ok = run_looks_healthy(F.col("discovered"), F.col("fetched"), F.col("failed"), F.col("parse_failures"))
-    return reports.join(notes, ["run_id", "source_id"], "left").select(
-        "run_id", "source_id", "discovered", "fetched", "unchanged", "failed", "parse_failures",
+    told = reports.join(notes, ["run_id", "source_id"], "left").join(times, ["run_id", "source_id"])
+    return told.select(
+        "run_id", "source_id", "ran_at", "duration_seconds", "discovered", "fetched", "unchanged", "failed", "parse_failures",
         "listings_created", "listings_updated", seen.alias("listings_seen"), ok.alias("ok"), "notes",
     )
 

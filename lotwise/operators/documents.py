@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Media type -> file ending.
@@ -62,13 +62,19 @@ def with_archive_key(docs: DataFrame) -> DataFrame:
 def new_for_archive(archive: DataFrame, docs: DataFrame) -> DataFrame:
     """Documents whose key the archive lacks, one per key, earliest fetch first.
 
-    The bytes are carried once: keys are settled on the narrow columns.
+    Keys are settled on narrow columns; the bytes are moved once, to meet the chosen keys, and rows that are alike
+    to the moment and URL are numbered where they then lie.
     """
     keyed = with_archive_key(docs)
-    fresh = keyed.join(archive.select("storage_key"), "storage_key", "left_anti")
-    whole = F.struct(*[F.col(c) for c in keyed.columns if c != "storage_key"])
-    picked = fresh.groupBy("storage_key").agg(F.min_by(whole, F.struct("fetched_at", "url")).alias("doc"))
-    return picked.select("storage_key", "doc.*")
+    narrow = keyed.select("storage_key", "fetched_at", "url")
+    fresh = narrow.join(archive.select("storage_key"), "storage_key", "left_anti")
+    chosen = fresh.groupBy("storage_key").agg(F.min(F.struct("fetched_at", "url")).alias("first"))
+    chosen = chosen.select("storage_key", F.col("first.fetched_at").alias("_at"), F.col("first.url").alias("_url"))
+    same = F.col("fetched_at").eqNullSafe(F.col("_at")) & F.col("url").eqNullSafe(F.col("_url"))
+    met = keyed.join(chosen, "storage_key").filter(same)
+    nth = F.row_number().over(Window.partitionBy("storage_key").orderBy(F.col("mime_type")))
+    picked = met.withColumn("_nth", nth).filter(F.col("_nth") == 1)
+    return picked.select("storage_key", *[c for c in keyed.columns if c != "storage_key"])
 
 
 def provenance(docs: DataFrame) -> DataFrame:

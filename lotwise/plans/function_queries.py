@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -264,15 +265,20 @@ def _cut_sql(cleaned: str, length: int) -> str:
 _column_query("g15_clean_text", NAMES, "cleaned", lambda: text.clean_text(F.col("x"), 20), _cut_sql(f"({CLEAN_SQL})", 20))
 
 
+#: White space of any script, as a class of the checking engine.
+_SPACE = r"[\t\n\x0b\x0c\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_REPAIRED = reduce(lambda x, pair: f"replace({x}, '{pair[0]}', '{pair[1].replace(chr(39), chr(39) * 2)}')", text.MOJIBAKE, "text")
+
+
 @query(
     "g15_clean_documents",
-    """WITH c AS (SELECT doc_id AS id, trim(regexp_replace(regexp_replace(text, '[^\\x20-\\x7e\\n]', '?', 'g'), '\\s+', ' ', 'g'), ' ,;:-') AS c
-    FROM documents) SELECT id, length(CASE WHEN c = '' OR lower(c) IN ('null','none','n/a','na','-','nil') THEN NULL ELSE c END) AS chars,
+    f"""WITH c AS (SELECT doc_id AS id, trim(regexp_replace({_REPAIRED}, '{_SPACE}+', ' ', 'g'), ' ,;:-') AS c FROM documents)
+    SELECT id, length(CASE WHEN c = '' OR lower(c) IN ('null','none','n/a','na','-','nil') THEN NULL ELSE c END) AS chars,
     md5(c) AS digest FROM c""",
 )
 def clean_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole texts; letters outside ASCII are masked only because the SQL engines class spaces differently."""
-    cleaned = text.clean_text(F.regexp_replace("text", r"[^\x20-\x7e\n]", "?"))
+    """Whole texts in every script."""
+    cleaned = text.clean_text(F.col("text"))
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), cleaned.alias("c"))
     return docs.select("id", F.length("c").cast("long").alias("chars"), F.md5(F.col("c").cast("binary")).alias("digest"))
 

@@ -96,7 +96,8 @@ SELECT event_id AS position, event_type AS source_id, CAST(CAST(ts AS DATE) AS V
   CASE WHEN value <= 5 THEN 0 ELSE 1 END AS listings,
   CASE WHEN value > 60 THEN 1 ELSE 0 END AS created, CASE WHEN value > 30 AND value <= 60 THEN 1 ELSE 0 END AS updated,
   CASE WHEN value > 5 AND value <= 30 THEN 1 ELSE 0 END AS same,
-  CASE WHEN user_id % 10 = 1 THEN 'u' || CAST(event_id AS VARCHAR(20)) || ': TimeoutError' END AS message
+  CASE WHEN user_id % 10 = 1 THEN 'u' || CAST(event_id AS VARCHAR(20)) || ': TimeoutError' END AS message,
+  CAST(ts AS TIMESTAMP) AS attempted_at
 FROM {events}
 """
 

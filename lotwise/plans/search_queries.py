@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lotwise.operators import search, status, textsearch
-from lotwise.operators.search import SearchQuery
+from lotwise.operators.search import Page, SearchQuery
 from lotwise.plans.catalogue import query
 from lotwise.plans.relations import (
     CLOCK,
@@ -286,7 +286,7 @@ def _page_query(name: str, asked: SearchQuery, where: str, order: str) -> None:
     @query(
         name,
         f"""{L} SELECT id, title, city, CAST(reserve_price AS DOUBLE) AS reserve_price, {START_SQL} FROM listings
-        WHERE {where} ORDER BY {order} LIMIT {asked.page_size} OFFSET {asked.offset}""",
+        WHERE {where} ORDER BY {order} LIMIT {len(asked.page.rows)} OFFSET {asked.page.rows.start}""",
     )
     def _(spark: SparkSession, sf_dir: str) -> DataFrame:
         page = search.search_page(listings(spark, sf_dir), asked, clock())
@@ -297,13 +297,13 @@ _BY_START = SOONEST.replace("auction_start_at", "listings.auction_start_at")
 _page_query("f1_default_sort", SearchQuery(), "is_published", _BY_START)
 _page_query(
     "f2_price_low",
-    SearchQuery(sort="price_low", page_size=50),
+    SearchQuery(sort="price_low", page=Page(1, 50)),
     "is_published",
     "listings.reserve_price ASC NULLS LAST, id",
 )
 _page_query(
     "f2_price_high",
-    SearchQuery(sort="price_high", page_size=50),
+    SearchQuery(sort="price_high", page=Page(1, 50)),
     "is_published",
     "listings.reserve_price DESC NULLS LAST, id",
 )
@@ -316,12 +316,12 @@ RANK_SQL = " + ".join(
 )
 _page_query(
     "f4_relevance",
-    SearchQuery(text="machinery sector", sort="relevance", page_size=40),
+    SearchQuery(text="machinery sector", sort="relevance", page=Page(1, 40)),
     f"is_published AND ((contains({TEXT_HIT}, ' machinery ') AND contains({TEXT_HIT}, ' sector ')) "
     "OR title ILIKE '%machinery sector%')",
     f"round({RANK_SQL}, 6) DESC, listings.auction_start_at ASC NULLS LAST, id",
 )
-_page_query("f5_third_page", SearchQuery(state="NATION_7", page=3), "is_published AND state = 'NATION_7'", _BY_START)
+_page_query("f5_third_page", SearchQuery(state="NATION_7", page=Page(3)), "is_published AND state = 'NATION_7'", _BY_START)
 
 
 @query(
@@ -332,7 +332,7 @@ _page_query("f5_third_page", SearchQuery(state="NATION_7", page=3), "is_publishe
     CAST(CASE WHEN total = 0 THEN 0 ELSE 41 END AS BIGINT) AS first_index, least(60, total) AS last_index FROM t""",
 )
 def page_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.search_envelope(listings(spark, sf_dir), SearchQuery(state="NATION_7", page=3), clock())
+    return search.search_envelope(listings(spark, sf_dir), SearchQuery(state="NATION_7", page=Page(3)), clock())
 
 
 @query(

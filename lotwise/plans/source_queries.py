@@ -82,6 +82,35 @@ def extract_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _small_payloads(spark, sf_dir).select("id", "payload")
 
 
+PAGE_BODY = """'{"propertyDetailId":' || page_id || ',"size":{"chars":' || length(html) || '}}'"""
+
+
+def given_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The given pages, each with one object about itself pushed at its end."""
+    pages = table(spark, sf_dir, "pages")
+    body = F.concat(
+        F.lit('{"propertyDetailId":'), F.col("page_id").cast("string"), F.lit(',"size":{"chars":'),
+        F.length("html").cast("string"), F.lit("}}"),
+    )
+    html = F.concat("html", _script(body))
+    return pages.select("page_id", F.col("page_id").cast("string").alias("url"), payload.extract_payload(html).alias("payload"))
+
+
+@query("a9_given_pages", f"SELECT page_id, {PAGE_BODY} AS payload FROM pages")
+def extract_given_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return given_pages(spark, sf_dir).select("page_id", "payload")
+
+
+@query(
+    "a10_given_pages",
+    f"""SELECT CAST(page_id AS VARCHAR) AS url, 'propertyDetailId' AS key, CAST(0 AS BIGINT) AS position, {PAGE_BODY} AS object_json,
+    CAST(2 AS BIGINT) AS n_fields FROM pages UNION ALL SELECT CAST(page_id AS VARCHAR), 'chars', 0, '{{"chars":' || length(html) || '}}', 1
+    FROM pages""",
+)
+def find_objects_on_given_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return payload.find_objects(given_pages(spark, sf_dir), ("propertyDetailId", "chars"))
+
+
 _FULL = """'{"propertyDetailId":' || id || ',"city":{"name":"' || event_type || ' {x}"},"reservePrice":' || n || '}'"""
 
 

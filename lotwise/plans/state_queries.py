@@ -489,6 +489,36 @@ def sync_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return upsert.sync_counts(listings(spark, sf_dir), stored_listings(spark, sf_dir), "listings")
 
 
+LOCAL_REVISIONS = """SELECT o_orderkey AS listing_id, l_linenumber AS changed_at, 'reserve_price' AS field_name,
+  CAST(l_partkey AS VARCHAR(20)) AS old_value, CAST(l_suppkey AS VARCHAR(20)) AS new_value, l_orderkey AS source_document_id
+  FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey"""
+
+
+@query(
+    "a15_sync_revisions",
+    f"""{given(r=LOCAL_REVISIONS)} SELECT listing_id, changed_at, field_name, old_value, new_value,
+    CAST(NULL AS BIGINT) AS source_document_id FROM r WHERE (listing_id + changed_at) % 4 <> 0""",
+)
+def sync_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quarter of the history, spread over all listings, is on the other side already."""
+    local = relation(spark, sf_dir, LOCAL_REVISIONS)
+    remote = local.filter((F.col("listing_id") + F.col("changed_at")) % 4 == 0)
+    return upsert.sync_missing(local, remote, ["listing_id", "changed_at", "field_name"])
+
+
+@query(
+    "a15_sync_counts_of_both",
+    f"""{given(listings=LISTINGS, r=LOCAL_REVISIONS)} SELECT 'listings' AS table_name, count(*) AS local_rows,
+    count(*) FILTER (id % 3 <> 0) AS remote_rows FROM listings UNION ALL SELECT 'listing_revisions', count(*),
+    count(*) FILTER ((listing_id + changed_at) % 4 = 0) FROM r""",
+)
+def sync_counts_of_both(spark: SparkSession, sf_dir: str) -> DataFrame:
+    history = relation(spark, sf_dir, LOCAL_REVISIONS)
+    there = history.filter((F.col("listing_id") + F.col("changed_at")) % 4 == 0)
+    listing_rows = upsert.sync_counts(listings(spark, sf_dir), stored_listings(spark, sf_dir), "listings")
+    return listing_rows.unionByName(upsert.sync_counts(history, there, "listing_revisions"))
+
+
 @query(
     "c9_existing_rows_win",
     f"""{given(listings=LISTINGS)}, here AS (SELECT external_id FROM listings WHERE id % 3 <> 0),
@@ -544,34 +574,65 @@ def run_looks_healthy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.select("source_id", "run_id", ok.alias("ok"))
 
 
+TIMES = """, times AS (SELECT run_id, source_id, max(attempted_at) AS ran_at,
+  CAST((epoch_us(max(attempted_at)) - epoch_us(min(attempted_at))) / 1000000 AS DECIMAL(10,2)) AS duration_seconds
+  FROM attempts GROUP BY run_id, source_id)"""
+
+
+def _health(spark: SparkSession, sf_dir: str) -> DataFrame:
+    times = crawl.run_times(relation(spark, sf_dir, ATTEMPTS))
+    return crawl.health_rows(_reports(spark, sf_dir), _notes(spark, sf_dir), times)
+
+
 @query(
     "d14_health_rows",
-    f"""{REPORTS} SELECT run_id, source_id, discovered, fetched, unchanged, failed, parse_failures, listings_created,
+    f"""{REPORTS}{TIMES} SELECT run_id, source_id, {stamp_sql('ran_at')}, CAST(duration_seconds AS DOUBLE) AS duration_seconds,
+    discovered, fetched, unchanged, failed, parse_failures, listings_created,
     listings_updated, listings_created + listings_updated + listings_unchanged AS listings_seen, {HEALTHY} AS ok, notes
-    FROM reports LEFT JOIN notes USING (run_id, source_id)""",
+    FROM reports LEFT JOIN notes USING (run_id, source_id) JOIN times USING (run_id, source_id)""",
 )
 def health_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return crawl.health_rows(_reports(spark, sf_dir), _notes(spark, sf_dir))
+    seconds = F.col("duration_seconds").cast("double")
+    return _health(spark, sf_dir).withColumns({"ran_at": stamp("ran_at"), "duration_seconds": seconds})
 
 
-@query(
-    "d12_check_health",
-    f"""{given(runs=CRAWL_RUNS)}, told AS (SELECT source_id, max(ran_at) AS last_run, max(ran_at) FILTER (listings_seen > 0) AS productive,
-      arg_max({HEALTHY}, ran_at) AS last_ok FROM runs WHERE source_id <> 'click' GROUP BY 1),
-    wanted AS (SELECT DISTINCT event_type AS source_id FROM events UNION ALL SELECT 'idle'),
+def _checked(history: str) -> str:
+    """Verdicts over a history with ``source_id, ran_at, listings_seen, healthy``; regions stand for sources never run."""
+    return f"""told AS (SELECT source_id, max(ran_at) AS last_run, max(ran_at) FILTER (listings_seen > 0) AS productive,
+      arg_max(healthy, ran_at) AS last_ok FROM {history} GROUP BY 1),
+    wanted AS (SELECT DISTINCT event_type AS source_id FROM events UNION ALL SELECT lower(r_name) FROM region),
     j AS (SELECT w.source_id, last_run, last_ok, productive,
       (epoch_us(TIMESTAMP '{CRAWL_CLOCK}') - epoch_us(productive)) / 3600000000 AS hours FROM wanted w LEFT JOIN told USING (source_id)),
     v AS (SELECT *, CASE WHEN last_run IS NULL THEN 'never run' WHEN NOT last_ok THEN 'last run failed its own checks'
       WHEN productive IS NULL THEN 'has never produced a listing'
       WHEN hours > 20 THEN 'produced no listings for ' || CAST(CAST(round_even(hours, 0) AS BIGINT) AS VARCHAR) || 'h'
       ELSE 'healthy' END AS reason FROM j)
-    SELECT source_id, reason IN ('never run', 'healthy') AS ok, reason, {stamp_sql('last_run')}, round(hours, 4) AS hours_since_new FROM v""",
+    SELECT source_id, reason IN ('never run', 'healthy') AS ok, reason, {stamp_sql('last_run')}, round(hours, 4) AS hours_since_new FROM v"""
+
+
+def _verdicts(spark: SparkSession, sf_dir: str, history: DataFrame) -> DataFrame:
+    idle = table(spark, sf_dir, "region").select(F.lower("r_name").alias("source_id"))
+    wanted = table(spark, sf_dir, "events").select(F.col("event_type").alias("source_id")).distinct().unionByName(idle)
+    verdicts = crawl.check_health(history, wanted, clock(CRAWL_CLOCK), stale_hours=20)
+    return verdicts.withColumns({"last_run": stamp("last_run"), "hours_since_new": F.round("hours_since_new", 4)})
+
+
+@query(
+    "d12_check_health",
+    f"{given(runs=CRAWL_RUNS)}, history AS (SELECT *, {HEALTHY} AS healthy FROM runs), {_checked('history')}",
 )
 def check_health(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = relation(spark, sf_dir, CRAWL_RUNS)
     ok = crawl.run_looks_healthy(F.col("discovered"), F.col("fetched"), F.col("failed"), F.col("parse_failures"))
-    history = runs.filter("source_id <> 'click'").withColumn("ok", ok)
-    idle = table(spark, sf_dir, "region").limit(1).select(F.lit("idle").alias("source_id"))
-    wanted = table(spark, sf_dir, "events").select(F.col("event_type").alias("source_id")).distinct().unionByName(idle)
-    verdicts = crawl.check_health(history, wanted, clock(CRAWL_CLOCK), stale_hours=20)
-    return verdicts.withColumns({"last_run": stamp("last_run"), "hours_since_new": F.round("hours_since_new", 4)})
+    return _verdicts(spark, sf_dir, runs.withColumn("ok", ok))
+
+
+@query(
+    "d12_check_reported_health",
+    f"""{REPORTS}{TIMES}, history AS (SELECT source_id, ran_at, {HEALTHY} AS healthy,
+      listings_created + listings_updated + listings_unchanged AS listings_seen FROM reports JOIN times USING (run_id, source_id)),
+    {_checked('history')}""",
+)
+def check_reported_health(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attempts to reports, reports to health rows, health rows to verdicts."""
+    return _verdicts(spark, sf_dir, _health(spark, sf_dir))

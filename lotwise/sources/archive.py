@@ -21,15 +21,21 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
 
 
 def append_archive(spark: SparkSession, path: str, docs: DataFrame, first_write: bool = False) -> None:
-    """Append documents whose key is new; a repeated call adds nothing.
+    """Append documents whose key is new; a repeated call adds nothing, and a first write refuses an archive that exists.
 
     Rows are brought together by folder before the write in parts of the size that the session advises: small
     folders share a task, and one source's busy day is split over as many as its bytes need.
     """
-    known = spark.createDataFrame([], ARCHIVE_SCHEMA) if first_write else read_archive(spark, path)
+    folder = ["source_id", "fetched_date"]
+    if first_write:
+        known = spark.createDataFrame([], ARCHIVE_SCHEMA)
+    else:
+        # A key names its source and day: only the folders of this batch can hold it.
+        wanted = docs.select("source_id", F.to_date("fetched_at").alias("fetched_date")).distinct()
+        known = read_archive(spark, path).join(wanted, folder, "left_semi")
     fresh = new_for_archive(known, docs).withColumn("fetched_date", F.to_date("fetched_at"))
     spread = fresh.hint("rebalance", "source_id", "fetched_date")
-    spread.write.mode("append").partitionBy("source_id", "fetched_date").parquet(path)
+    spread.write.mode("error" if first_write else "append").partitionBy(*folder).parquet(path)
 
 
 def append_table(rows: DataFrame, path: str, by: list[str]) -> None:
