@@ -60,11 +60,14 @@ def test_listing_stream_equals_batch_and_repeats_safely(spark, tmp_path):
     actions = upsert.merge_listings(empty, parsed)
     whole = upsert.snapshot(actions).drop("last_verified_at")
     root = str(tmp_path / "kept")
-    write = listing_stream.upsert_batch(root)
-    for number in range(3):
+    write = listing_stream.upsert_batch(root, "first", buckets=4)
+    for number in range(2):
         write(parsed.filter(F.col("seq") == number + 1), number)
-    write(parsed.filter(F.col("seq") == 3), 2)  # the last batch is run again
-    kept = spark.read.schema(LISTING).parquet(listing_stream.snapshot_path(root, 2)).drop("last_verified_at")
+    write(parsed.filter(F.col("seq") == 2), 1)  # the last batch is run again
+    write(parsed.filter(F.lit(False)), 2)
+    # A new query over the store begins at batch 0 and goes on from what is stored.
+    listing_stream.upsert_batch(root, "second", buckets=4)(parsed.filter(F.col("seq") == 3), 0)
+    kept = listing_stream.read_listings(spark, root).drop("last_verified_at")
     assert kept.count() == whole.count() > 0
     assert kept.exceptAll(whole.select(kept.columns)).count() == 0
     history = listing_stream.read_history(spark, root).select("source_id", "external_id", "seq", "field_name", "old_value", "new_value")
@@ -72,6 +75,23 @@ def test_listing_stream_equals_batch_and_repeats_safely(spark, tmp_path):
     assert history.exceptAll(expected).count() == 0 and history.count() == expected.count() > 0
 
 
+def test_a_batch_rewrites_its_own_buckets_only(spark, tmp_path):
+    parsed = parsed_listings(spark, SF).withColumns(
+        {"quality_flags": F.lit(None).cast("array<string>"), "raw_payload": F.lit(None).cast("string")}
+    )
+    parsed = parsed.filter(F.col("seq") == 1)
+    root = str(tmp_path / "store")
+    assert listing_stream.read_listings(spark, root).count() == 0
+    write = listing_stream.upsert_batch(root, buckets=8)
+    write(parsed, 0)
+    before = listing_stream.read_pointers(spark, root)
+    one = parsed.filter(F.col("external_id") == parsed.agg(F.min("external_id")).scalar())
+    write(one, 1)
+    after = listing_stream.read_pointers(spark, root)
+    assert set(before.buckets.values()) == {1} and sorted(after.buckets.values())[-2:] == [1, 2]
+    assert listing_stream.read_listings(spark, root).count() == parsed.select("source_id", "external_id").distinct().count()
+
+
 def test_report_stream_equals_batch(spark, tmp_path):
     attempts = relation(spark, SF, ATTEMPTS).cache()
     source = str(tmp_path / "attempts")
