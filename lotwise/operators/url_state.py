@@ -1,7 +1,7 @@
 """What is known about each URL, folded from the fetch log.
 
 The log has one row per attempt: ``url, fetched_at, seq, outcome, content_hash,
-etag, document``.  ``outcome`` is ``ok`` (a body came), ``not_modified`` or
+etag, document`` and, if they are kept, ``source_id`` and ``last_modified``.  ``outcome`` is ``ok`` (a body came), ``not_modified`` or
 anything else (failed, blocked: records nothing).
 """
 
@@ -29,6 +29,10 @@ def fetch_outcome(robots_ok: Column, http_status: Column, known_hash: Column, ne
     )
 
 
+def _kept(log: DataFrame, name: str) -> Column:
+    return F.col(name) if name in log.columns else F.lit(None).cast("string")
+
+
 def _day(column: str = "fetched_at") -> Column:
     return F.date_trunc("day", F.col(column))
 
@@ -58,8 +62,12 @@ def fold_segments(log: DataFrame, segment: Column | None = None) -> DataFrame:
         F.col("fetched_at").alias("at"),
         F.col("content_hash").alias("hash"),
         F.col("document").alias("document"),
+        _kept(log, "source_id").alias("source_id"),
     )
-    body = F.struct(F.col("_pos").alias("pos"), F.col("content_hash").alias("hash"), F.col("etag").alias("etag"))
+    body = F.struct(
+        F.col("_pos").alias("pos"), F.col("content_hash").alias("hash"), F.col("etag").alias("etag"),
+        _kept(log, "last_modified").alias("last_modified"),
+    )
     return rows.groupBy("url", "_segment").agg(
         F.count(F.lit(1)).alias("n"),
         F.max("fetched_at").alias("last_at"),
@@ -75,7 +83,8 @@ def fold_url_state(log: DataFrame, segment: Column | None = None) -> DataFrame:
 
     Rules: the first body creates the row (count 1, streak 0); another hash is a change
     (streak 0); the same hash or a 304 adds one to the streak; a 304 before any body
-    records nothing and never touches the tag.
+    records nothing and never touches the tag.  ``source_id`` is that of the first body and
+    ``last_modified`` that of the last, where the log has them.
     """
     along = Window.partitionBy("url").orderBy("_segment")
     earlier = along.rowsBetween(Window.unboundedPreceding, -1)
@@ -102,11 +111,17 @@ def fold_url_state(log: DataFrame, segment: Column | None = None) -> DataFrame:
         "era", F.sum(F.when(F.col("change").isNotNull(), 1).otherwise(0)).over(along)
     ).withColumn("last_era", F.max("era").over(whole))
     since = F.when(F.col("change").isNotNull(), F.col("n") - F.col("change.pos")).otherwise(F.col("counted"))
+    with_body = F.when(F.col("body").isNotNull(), F.col("_segment"))
+    more = {
+        "source_id": F.min_by("opening.source_id", F.when(F.col("opening").isNotNull(), F.col("_segment"))),
+        "last_modified": F.max_by("body.last_modified", with_body),
+    }
     return (
         segments.groupBy("url")
         .agg(
-            F.max_by("body.hash", F.when(F.col("body").isNotNull(), F.col("_segment"))).alias("content_hash"),
-            F.max_by("body.etag", F.when(F.col("body").isNotNull(), F.col("_segment"))).alias("etag"),
+            *[value.alias(name) for name, value in more.items() if name in log.columns],
+            F.max_by("body.hash", with_body).alias("content_hash"),
+            F.max_by("body.etag", with_body).alias("etag"),
             F.max_by("change.document", F.when(F.col("change").isNotNull(), F.col("_segment"))).alias("document"),
             F.min("opening.at").alias("first_seen_at"),
             F.max(F.when(F.col("counted") > 0, F.col("last_at"))).alias("last_fetched_at"),

@@ -77,6 +77,12 @@ SELECT event_id AS seq, 'https://x.test/property-detail/' || CAST(user_id AS VAR
 FROM {events}
 """
 
+#: The same log with the source of each URL and the date header of each body.
+FETCH_LOG_OF_SOURCES = FETCH_LOG.replace(
+    "AS document", "AS document, 's' || CAST(user_id % 3 AS VARCHAR(20)) AS source_id, "
+    "CASE WHEN event_type IN ('error','signup') THEN NULL ELSE 'lm' || CAST(event_id AS VARCHAR(20)) END AS last_modified"
+)
+
 #: Runs of a crawl: one per event type and day.
 CRAWL_RUNS = """
 SELECT event_type AS source_id, CAST(CAST(ts AS DATE) AS VARCHAR(20)) AS run_id,

@@ -16,10 +16,12 @@ from lotwise.plans.relations import (
     CRAWL_RUNS,
     DOCUMENTS_LOG,
     FETCH_LOG,
+    FETCH_LOG_OF_SOURCES,
     LISTINGS,
     clock,
     given,
     listings,
+    plain,
     relation,
     stamp,
     stamp_sql,
@@ -223,6 +225,38 @@ def fold_url_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.withColumns({name: stamp(name) for name in times})
 
 
+FOLD_OF_SOURCES = FOLD.replace(plain(FETCH_LOG), plain(FETCH_LOG_OF_SOURCES), 1) + """,
+ told AS (SELECT url, arg_min(source_id, (fetched_at, seq)) AS source_id, arg_max(last_modified, (fetched_at, seq)) AS last_modified
+   FROM ch GROUP BY url)"""
+
+
+@query(
+    "e1_url_state_of_sources",
+    f"""{FOLD_OF_SOURCES} SELECT url, source_id, etag, last_modified, {stamp_sql('last_fetched_at')}, fetch_count
+    FROM state JOIN told USING (url)""",
+)
+def fold_url_state_of_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    state = url_state.fold_url_state(relation(spark, sf_dir, FETCH_LOG_OF_SOURCES))
+    return state.select("url", "source_id", "etag", "last_modified", stamp("last_fetched_at"), "fetch_count")
+
+
+FOUND_OF_SOURCE = """SELECT 'https://x.test/property-detail/' || CAST(user_id AS VARCHAR(20)) || '/ab' AS url, min(event_id) AS position
+ FROM {events} WHERE user_id % 3 = 1 GROUP BY user_id"""
+
+
+@query(
+    "c3_next_run_of_a_source",
+    f"""{FOLD_OF_SOURCES}, found AS ({plain(FOUND_OF_SOURCE)}), known AS (SELECT url, last_fetched_at FROM state JOIN told USING (url)
+    WHERE source_id = 's1') SELECT url, position, {stamp_sql('last_fetched_at')} FROM found LEFT JOIN known USING (url)
+    ORDER BY known.last_fetched_at NULLS FIRST, position LIMIT 40""",
+)
+def next_run_of_a_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fetch log to the state of one source, and that to the URLs of its next run."""
+    state = url_state.fold_url_state(relation(spark, sf_dir, FETCH_LOG_OF_SOURCES)).filter("source_id = 's1'")
+    chosen = crawl.prioritise(relation(spark, sf_dir, FOUND_OF_SOURCE), state, 40)
+    return chosen.select("url", "position", stamp("last_fetched_at"))
+
+
 DOCS = f"""{FOLD},
  eras AS (SELECT *, sum(CAST(changed AS INTEGER)) OVER (PARTITION BY url ORDER BY fetched_at, seq) AS era FROM ch),
  kept AS (SELECT url, arg_min(document, (fetched_at, seq)) AS document, min(fetched_at) AS made, max(fetched_at) AS seen
