@@ -31,6 +31,8 @@ BLOCK_BYTES = 12 << 20
 #: Buckets of the signature range for each shuffle partition.
 BUCKETS_PER_PARTITION = 2
 SIGNATURE_BITS = 48
+#: Word hashes that a worker remembers.
+MOST_WORDS = 200_000
 SECOND_LEVEL = 3
 BLOCK = "block long, ids binary, sizes binary, keys binary, owners binary, counts binary, signatures binary"
 
@@ -48,7 +50,7 @@ class WordHashes(dict):
     """64-bit hashes of words, each worked out once; forgotten when there are too many to hold."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 2_000_000:
+        if len(self) > MOST_WORDS:
             self.clear()
         self[word] = value = xxhash.xxh64_intdigest(word)
         return value
@@ -265,11 +267,13 @@ def near_copies(listings: DataFrame, percent: int = 80, width: int = 5) -> DataF
         F.col("id").cast("long").alias("id"), F.col("description").cast("string").alias("description")
     )
     buckets = int(listings.sparkSession.conf.get("spark.sql.shuffle.partitions")) * BUCKETS_PER_PARTITION
-    blocks = texts.mapInArrow(_cut(percent, width), BLOCK).repartition("block")
+    # Written once: two jobs read the blocks, and their numbers must mean the same rows in both.
+    cut = saved(texts.mapInArrow(_cut(percent, width), BLOCK))
+    blocks = cut.repartition("block")
     replies = elsewhere.answers(blocks.mapInArrow(_asks(buckets), elsewhere.ASK))
     wanted = blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_shared, "key long, id long")
 
-    profiles = saved(blocks.mapInArrow(_profiles, "id long, size long, key long, key2 long"))
+    profiles = saved(cut.mapInArrow(_profiles, "id long, size long, key long, key2 long"))
     same = ["size", "key", "key2"]
     first = profiles.filter(F.col("size") > 0).groupBy(*same).agg(F.min("id").alias("node"), F.count("id").alias("copies"))
     named = profiles.join(first, same, "left").withColumn("node", F.coalesce("node", "id"))
