@@ -42,6 +42,14 @@ def _int8_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return total
 
 
+def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distances of paired rows, summed from the first component to the last."""
+    total = np.zeros(len(a))
+    for k in range(a.shape[1]):
+        total += (a[:, k] - b[:, k]) ** 2
+    return np.sqrt(total)
+
+
 def nearest(queries: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
     """(query_id, rank, vec_id, score): for every query row, the ``k`` candidates of least Euclidean distance.
 
@@ -78,7 +86,7 @@ def nearest(queries: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
                 exact = np.empty(len(row))
                 for at in range(0, len(row), RECOMPUTED):
                     part = slice(at, at + RECOMPUTED)
-                    exact[part] = np.sqrt(((rows[row[part]] - matrix[column[part]]) ** 2).sum(axis=1))
+                    exact[part] = _distances(rows[row[part]], matrix[column[part]])
                 order = np.lexsort((column, exact, row))  # candidates lie by id
                 row, column, exact = row[order], column[order], exact[order]
                 ends = np.searchsorted(row, np.arange(len(rows) + 1))

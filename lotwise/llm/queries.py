@@ -116,13 +116,46 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
 
 
-@query("op4_exact_top_products")
+def _usable(vector: str, zero: bool) -> str:
+    """Whether a vector takes part, in SQL."""
+    finite = f"len(list_filter({vector}, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+    some = "" if zero else f" AND len(list_filter({vector}, lambda x: x <> 0)) > 0"
+    return f"vec_id IS NOT NULL AND len({vector}) > 0 AND {finite}{some}"
+
+
+TOP_PRODUCTS = f"""WITH v AS (SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: floor(64 * x)) AS e FROM embeddings
+    WHERE {_usable('embedding', True)}),
+  s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score FROM v q JOIN v c
+    ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e)),
+  r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+  SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20"""
+
+NEAREST = f"""WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE {_usable('embedding', False)}),
+  s AS (SELECT q.vec_id AS query_id, c.vec_id, list_distance(q.e, c.e) AS score FROM v q JOIN v c
+    ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e)),
+  r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS INTEGER) AS rank FROM s)
+  SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10"""
+
+NEAR_COPIES = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS w FROM documents),
+  g AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(
+    range(1, len(w) - 2), lambda k: array_to_string(w[k:k + 3], ' '))) END AS g FROM w),
+  x AS (SELECT doc_id, len(g) AS n, unnest(g) AS shingle FROM g),
+  pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS common FROM x a JOIN x b
+    ON a.shingle = b.shingle AND a.doc_id <> b.doc_id AND 100 * a.n >= 85 * b.n AND 100 * b.n >= 85 * a.n GROUP BY ALL),
+  links AS (SELECT a, b FROM pairs WHERE 100 * common >= 85 * (na + nb - common)),
+  reached AS (SELECT doc_id AS root, doc_id AS node FROM g UNION SELECT root, b FROM reached JOIN links ON node = a)
+  SELECT g.doc_id, CAST(len(g.g) AS BIGINT) AS n_shingles, min(node) AS component_id FROM g JOIN reached ON root = g.doc_id
+  GROUP BY g.doc_id, len(g.g)"""
+
+
+@query("op4_exact_top_products", TOP_PRODUCTS)
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     whole = topk.scaled(vectors(spark, sf_dir))
     return topk.top_products(whole.filter(F.col("vec_id") % 20 == 0), whole, k=20)
 
 
-@query("op5_nearest_neighbours")
+@query("op5_nearest_neighbours", NEAREST)
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = vectors(spark, sf_dir)
     return neighbours.nearest(given.filter(F.col("vec_id") % 100 == 0), given, k=10)
@@ -151,7 +184,7 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("op9_partenum_join")
+@query("op9_partenum_join", NEAR_COPIES)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = ngramjoin.near_copies(listings(spark, sf_dir), percent=85, width=4)
     return found.select(
