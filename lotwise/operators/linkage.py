@@ -140,18 +140,24 @@ def _both(a: str, b: str, name: str) -> Column:
     return F.col(f"{a}.{name}").isNotNull() & F.col(f"{b}.{name}").isNotNull()
 
 
-def _exact_sum(terms: list[Column]) -> Column:
-    """Sum that carries the rounding error of each step, so scores on a threshold fall on the right side."""
+def _with_exact_sums(rows: DataFrame, sums: dict[str, list[Column]]) -> DataFrame:
+    """Add each sum, carrying the rounding error of every step so scores on a threshold fall on the right side.
 
-    def add(total: Column, term: Column) -> Column:
-        whole = total["s"] + term
-        lost = F.when(F.abs(total["s"]) >= F.abs(term), (total["s"] - whole) + term).otherwise(
-            (term - whole) + total["s"]
-        )
-        return F.struct(whole.alias("s"), (total["c"] + lost).alias("c"))
-
-    start = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("c"))
-    return F.aggregate(F.array(*terms), start, add, lambda total: total["s"] + total["c"])
+    Steps are columns of their own: plain arithmetic stays in generated code, and no step is worked out twice.
+    """
+    terms = {f"_{name}_{i}": term for name, parts in sums.items() for i, term in enumerate(parts)}
+    rows = rows.withColumns(terms).withColumns({f"_{name}_s0": F.col(f"_{name}_0") for name in sums})
+    steps = range(1, max(map(len, sums.values())))
+    for i in steps:
+        rows = rows.withColumns({f"_{name}_s{i}": F.col(f"_{name}_s{i - 1}") + F.col(f"_{name}_{i}") for name in sums})
+
+    def lost(name: str, i: int) -> Column:
+        before, term, whole = F.col(f"_{name}_s{i - 1}"), F.col(f"_{name}_{i}"), F.col(f"_{name}_s{i}")
+        return F.when(F.abs(before) >= F.abs(term), (before - whole) + term).otherwise((term - whole) + before)
+
+    return rows.withColumns(
+        {name: F.col(f"_{name}_s{steps[-1]}") + reduce(lambda x, y: x + y, [lost(name, i) for i in steps]) for name in sums}
+    )
 
 
 def with_similarity(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -186,12 +192,17 @@ def with_similarity(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     }
     measured = overlaps.withColumns({f"_{name}_part": part for name, part in parts.items()})
     named = [(F.col(f"_{name}_part"), WEIGHTS[name]) for name in parts]
-    gained = _exact_sum([F.coalesce(part * F.lit(weight), F.lit(0.0)) for part, weight in named])
-    weighed = _exact_sum([F.when(part.isNotNull(), F.lit(weight)).otherwise(F.lit(0.0)) for part, weight in named])
+    measured = _with_exact_sums(
+        measured,
+        {
+            "_gained": [F.coalesce(part * F.lit(weight), F.lit(0.0)) for part, weight in named],
+            "_weighed": [F.when(part.isNotNull(), F.lit(weight)).otherwise(F.lit(0.0)) for part, weight in named],
+        },
+    )
     price_a, price_b = col(a, "reserve_price"), col(b, "reserve_price")
     averaged = measured.withColumns(
         {
-            "_mean": gained / F.nullif(weighed, F.lit(0.0)),
+            "_mean": F.col("_gained") / F.nullif(F.col("_weighed"), F.lit(0.0)),
             "_same_price": F.coalesce((price_a != 0) & (price_a == price_b), F.lit(False)),
             "_same_asset": F.coalesce(col(a, "asset_key") == col(b, "asset_key"), F.lit(False)),
         }
@@ -211,7 +222,9 @@ def with_similarity(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             )
         )
     )
-    return averaged.withColumns({"score": score, "reasons": reasons})
+    # The same kind of inline keeps a filter on the score behind the steps above.
+    told = F.struct(score.alias("score"), reasons.alias("reasons"))
+    return averaged.select("*", F.inline(F.array(told)))
 
 
 def starts_differ(a: str, b: str) -> Column:
