@@ -11,7 +11,8 @@ Buckets are asked for packed (``elsewhere``), compared in ``linking``; texts are
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -28,34 +29,41 @@ from lotwise.llm.wire import unpack_sorted
 from lotwise.session import saved
 
 DISTANCE = 3
-PIECES = 5
+PIECES = 6
 KEY_BITS = 48
 #: Different lines whose buckets are asked for together.
 ASK_LINES = 50_000
 BUCKETS_PER_PARTITION = 2
 #: Words whose hash bits are added up together.
 WORDS_AT_ONCE = 50_000
+MOST_WEIGHT = 9
 
-_ZERO = str.maketrans("123456789", "000000000")
+_ZERO = bytes.maketrans(b"123456789", b"000000000")
 _EDGES = [round(k * 64 / PIECES) for k in range(PIECES + 1)]
 
 
-def normalised(line: str) -> str:
-    return " ".join(line.lower().translate(_ZERO).split())
+def normalised(line: str) -> bytes:
+    return b" ".join(line.lower().encode().translate(_ZERO).split())
 
 
-def simhashes(lines: list[bytes], hashes: WordHashes) -> np.ndarray:
-    """The SimHash of every line: each bit is that of most of its words."""
+def simhashes(lines: Iterable[list[bytes]], hashes: WordHashes) -> np.ndarray:
+    """The SimHash of every line of words: each bit is that of most of its different words.
+
+    A word weighs as much as its length over three bytes, at least 1 and at most ``MOST_WEIGHT``: else the few short
+    words that all prose shares would make unrelated lines alike.
+    """
     out, words, counts = [], [], []
 
     def close() -> None:
         bits = np.unpackbits(mixed(hashes.of(words)).view(np.uint8).reshape(-1, 8), axis=1)
+        weight = np.clip(np.fromiter(map(len, words), np.int64, len(words)) - 3, 1, MOST_WEIGHT).astype(np.uint8)
         starts = np.cumsum(counts) - counts
-        ones = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
-        out.append(np.packbits(2 * ones > np.array(counts)[:, None], axis=1).view(np.uint64).ravel())
+        ones = np.add.reduceat(bits * weight[:, None], starts, axis=0, dtype=np.int32)
+        whole = np.add.reduceat(weight, starts, dtype=np.int32)
+        out.append(np.packbits(2 * ones > whole[:, None], axis=1).view(np.uint64).ravel())
 
     for line in lines:
-        own = line.split(b" ")
+        own = dict.fromkeys(line)
         words += own
         counts.append(len(own))
         if len(words) >= WORDS_AT_ONCE:
@@ -141,20 +149,23 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in batch.to_pylist():
             texts = textblocks.texts_of(row)
             ids = textblocks.unpack_ids(row["ids"], len(texts))
-            whole, at, line, owner = [], [], [], []
-            for n, text in enumerate(texts):
-                for k, raw in enumerate(text.split("\n")):
-                    if body := normalised(raw):
-                        whole.append(body.encode())
-                        at.append(n)
-                        line.append(k)
-                        owner.append(ids[n])
-            nodes = np.fromiter(map(xxhash.xxh3_64_intdigest, whole), np.uint64, len(whole)).astype(np.int64)
+            nodes, at, line = array("Q"), array("i"), array("i")
+
+            def words_of_lines() -> Iterator[list[bytes]]:
+                for n, text in enumerate(texts):
+                    for k, raw in enumerate(text.lower().encode().translate(_ZERO).split(b"\n")):
+                        if words := raw.split():
+                            nodes.append(xxhash.xxh3_64_intdigest(b" ".join(words)))
+                            at.append(n)
+                            line.append(k)
+                            yield words
+
+            marks = simhashes(words_of_lines(), hashes)
             columns = {
-                "node": pa.array(nodes, pa.int64()),
-                "mark": pa.array(simhashes(whole, hashes).astype(np.int64), pa.int64()),
-                "id": pa.array(owner, pa.int64()),
-                "block": pa.array([row["block"]] * len(whole), pa.int64()),
+                "node": pa.array(np.array(nodes, np.uint64).astype(np.int64), pa.int64()),
+                "mark": pa.array(marks.astype(np.int64), pa.int64()),
+                "id": pa.array([ids[n] for n in at], pa.int64()),
+                "block": pa.array(np.full(len(at), row["block"]), pa.int64()),
                 "row": pa.array(at, pa.int32()),
                 "line": pa.array(line, pa.int32()),
             }
@@ -217,7 +228,7 @@ def _bodies(blocks: pa.Table, wanted: pa.Table) -> pa.Table:
         for r in rows:
             if r["row"] not in split:
                 split[r["row"]] = texts[r["row"]].split("\n")
-            bodies.append(normalised(split[r["row"]][r["line"]]).encode())
+            bodies.append(normalised(split[r["row"]][r["line"]]))
     marks = [np.array([r["mark"]], "<i8").tobytes() for r in rows]
     return pa.table(
         [
@@ -262,14 +273,15 @@ def remove_near_lines(listings: DataFrame, percent: int = 80) -> DataFrame:
     links one occurrence stays: that of the smallest id (a null id counts as the smallest), then the first line.
     Blank lines stay and link with nothing.  A null description becomes an empty one.  One row per input row,
     repeated rows included: of those the first in the table's layout keeps its lines.  Other columns stay as they are
-    but a column named ``removed_lines`` is replaced.  Lines are told apart by 64-bit hashes.
+    but a column named ``removed_lines`` is replaced.  Lines are told apart by 64-bit hashes.  Several jobs read
+    the listings: give a stored table (see ``textblocks.blocks``).
     """
     names = [c for c in listings.columns if c != "removed_lines"]
     listings = listings.select(*[f"`{c}`" for c in names])
     partitions = int(listings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     blocks = textblocks.blocks(listings, rest=True)
     kinds = "node long, mark long, id long, block long, row int, line int"
-    lines = saved(blocks.mapInArrow(_lines, kinds))
+    lines = saved(textblocks.from_blocks(listings, _lines, kinds))
 
     place = F.struct("id", "block", "row", "line")
     different = saved(lines.groupBy("node").agg(F.min("mark").alias("mark"), F.min(place).alias("first")))
@@ -278,8 +290,9 @@ def remove_near_lines(listings: DataFrame, percent: int = 80) -> DataFrame:
     shared = packs.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_shared, "key long, node long")
 
     def items(nodes: DataFrame) -> DataFrame:
+        texts = textblocks.blocks(listings)
         wanted = different.join(nodes, "node").select("node", "mark", "first.block", "first.row", "first.line")
-        whole = blocks.groupBy("block").cogroup(wanted.groupBy("block"))
+        whole = texts.groupBy("block").cogroup(wanted.groupBy("block"))
         return whole.applyInArrow(_bodies, "node long, mark binary, body binary")
 
     groups = linked_groups(shared, items, _prepare, _near, alike(percent))

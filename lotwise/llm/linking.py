@@ -23,19 +23,19 @@ from lotwise.session import saved
 CELL_ITEMS = 1024
 
 
-def _verified(pairs: DataFrame, items: DataFrame, linked: Callable[[bytes, bytes], bool]) -> DataFrame:
-    """The (a, b) whose bodies are linked."""
+def _passing(pairs: DataFrame, items: DataFrame, column: str, test: Callable[[bytes, bytes], bool]) -> DataFrame:
+    """The (a, b) whose values of ``column`` pass a test."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left, right = batch.column("body").to_pylist(), batch.column("other").to_pylist()
-            good = pa.array([linked(x, y) for x, y in zip(left, right, strict=True)], pa.bool_())
+            left, right = batch.column("left").to_pylist(), batch.column("right").to_pylist()
+            good = pa.array([test(x, y) for x, y in zip(left, right, strict=True)], pa.bool_())
             yield batch.select(["a", "b"]).filter(good)
 
-    bodies = items.select("node", "body")
-    wide = pairs.join(bodies.withColumnRenamed("node", "a"), "a")
-    other = bodies.select(F.col("node").alias("b"), F.col("body").alias("other"))
-    return wide.join(other, "b").select("a", "b", "body", "other").mapInArrow(run, "a long, b long")
+    one = items.select(F.col("node").alias("a"), F.col(column).alias("left"))
+    two = items.select(F.col("node").alias("b"), F.col(column).alias("right"))
+    both = pairs.join(one, "a").join(two, "b").select("a", "b", "left", "right")
+    return both.mapInArrow(run, "a long, b long")
 
 
 def _cells(rows: DataFrame, prepare: Callable, near: Callable) -> DataFrame:
@@ -107,7 +107,14 @@ def linked_groups(
     starts = shared.select(F.col("low").alias("a"), F.col("node").alias("b"))
     stars = starts.unionByName(shared.select(F.col("node").alias("a"), F.col("high").alias("b")))
     tried = saved(stars.filter(F.col("a") < F.col("b")).distinct())
-    links = saved(_verified(tried, known, linked))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """Linked pairs: the small marks are brought together first, and bodies for pairs that pass the bound."""
+        second = np.array([1])
+        close = _passing(pairs, known, "mark", lambda x, y: bool(near(prepare([x, y]), 0, second)[0]))
+        return _passing(close, known, "body", linked)
+
+    links = saved(verified(tried))
     first = saved(components(links))
 
     labelled = shared.select("key", "node", "bucket_items").join(first, "node", "left")
@@ -116,7 +123,7 @@ def linked_groups(
     several = several.filter(F.col("least") < F.col("most")).select("key")
     rows = labelled.join(several, "key", "left_semi").join(known.select("node", "mark"), "node")
     left = _cells(rows, prepare, near).join(tried, ["a", "b"], "left_anti")
-    more = saved(_verified(left, known, linked))
+    more = saved(_passing(left, known, "body", linked))
     if more.isEmpty():
         return first
     return saved(components(links.unionByName(more)))

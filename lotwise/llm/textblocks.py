@@ -6,7 +6,7 @@ text) and no key can be hot.  They are shuffled by block number once; every late
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -70,11 +70,25 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield block()
 
 
-def blocks(listings: DataFrame, rest: bool = False) -> DataFrame:
-    """Blocks of ``id`` and ``description``, with the other columns if ``rest``."""
-    chosen = [F.col("id").cast("long").alias("id"), F.col("description").cast("string").alias("description")]
+def _chosen(listings: DataFrame, rest: bool) -> DataFrame:
+    columns = [F.col("id").cast("long").alias("id"), F.col("description").cast("string").alias("description")]
     others = [F.col(f"`{c}`") for c in listings.columns if c not in ("id", "description")] if rest else []
-    return listings.select(*chosen, *others).mapInArrow(_cut, BLOCK).repartition("block")
+    return listings.select(*columns, *others)
+
+
+def blocks(listings: DataFrame, rest: bool = False) -> DataFrame:
+    """Blocks of ``id`` and ``description``, with the other columns if ``rest``, shuffled by their numbers.
+
+    One shuffle serves all uses in one job.  Block and row numbers follow from the partitions of ``listings``:
+    whoever uses them in several jobs needs listings that are read alike each time, that is, a stored table and
+    not the unordered result of a shuffle.
+    """
+    return _chosen(listings, rest).mapInArrow(_cut, BLOCK).repartition("block")
+
+
+def from_blocks(listings: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """``run`` over the same blocks where the rows lie, in the worker that cuts them."""
+    return _chosen(listings, False).mapInArrow(lambda batches: run(_cut(batches)), schema)
 
 
 def opened(row: dict) -> tuple[np.ndarray, np.ndarray]:
