@@ -14,6 +14,7 @@ from __future__ import annotations
 from array import array
 from collections.abc import Iterable, Iterator
 from itertools import combinations
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -24,13 +25,14 @@ from pyspark.sql import functions as F
 
 from lotwise.llm import elsewhere, textblocks
 from lotwise.llm.linking import linked_groups
-from lotwise.llm.ngramjoin import M1, M2, WordHashes, mixed
+from lotwise.llm.ngramjoin import M1, M2, mixed
 from lotwise.llm.wire import unpack_sorted
 from lotwise.session import saved
 
 DISTANCE = 3
 PIECES = 6
-KEY_BITS = 48
+#: Bits of a bucket's number: 5 for the choice of pieces, 33 for the largest three.
+KEY_BITS = 38
 #: Different lines whose buckets are asked for together.
 ASK_LINES = 50_000
 BUCKETS_PER_PARTITION = 2
@@ -46,7 +48,7 @@ def normalised(line: str) -> bytes:
     return b" ".join(line.lower().encode().translate(_ZERO).split())
 
 
-def simhashes(lines: Iterable[list[bytes]], hashes: WordHashes) -> np.ndarray:
+def simhashes(lines: Iterable[list[bytes]]) -> np.ndarray:
     """The SimHash of every line of words: each bit is that of most of its different words.
 
     A word weighs as much as its length over three bytes, at least 1 and at most ``MOST_WEIGHT``: else the few short
@@ -55,7 +57,8 @@ def simhashes(lines: Iterable[list[bytes]], hashes: WordHashes) -> np.ndarray:
     out, words, counts = [], [], []
 
     def close() -> None:
-        bits = np.unpackbits(mixed(hashes.of(words)).view(np.uint8).reshape(-1, 8), axis=1)
+        hashes = mixed(np.fromiter(map(crc32, words), np.uint64, len(words)) * M1 + M2)
+        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1)
         weight = np.clip(np.fromiter(map(len, words), np.int64, len(words)) - 3, 1, MOST_WEIGHT).astype(np.uint8)
         starts = np.cumsum(counts) - counts
         ones = np.add.reduceat(bits * weight[:, None], starts, axis=0, dtype=np.int32)
@@ -75,14 +78,18 @@ def simhashes(lines: Iterable[list[bytes]], hashes: WordHashes) -> np.ndarray:
 
 
 def bucket_keys(marks: np.ndarray) -> np.ndarray:
-    """One row per choice of pieces: the bucket of every hash."""
-    pieces = [(marks >> np.uint64(a)) & np.uint64((1 << (b - a)) - 1) for a, b in zip(_EDGES[:-1], _EDGES[1:], strict=True)]
+    """One row per choice of pieces: the bucket of every hash, the number of the choice before the pieces' bits."""
+    sizes = np.diff(_EDGES).tolist()
+    pieces = [(marks >> np.uint64(a)) & np.uint64((1 << n) - 1) for a, n in zip(_EDGES, sizes, strict=False)]
     out = []
     for number, chosen in enumerate(combinations(range(PIECES), PIECES - DISTANCE)):
-        key = np.full(len(marks), number + 1, np.uint64)
+        key = np.full(len(marks), number, np.uint64)
+        width = 0
         for k in chosen:
-            key = mixed(key * M1 + M2 + pieces[k])
-        out.append(key >> np.uint64(64 - KEY_BITS))
+            key = (key << np.uint64(sizes[k])) | pieces[k]
+            width += sizes[k]
+        spare = np.uint64(KEY_BITS - 5 - width)
+        out.append((key << spare) if spare else key)
     return np.stack(out)
 
 
@@ -144,7 +151,6 @@ def _near(marks: np.ndarray, k: int, others: np.ndarray) -> np.ndarray:
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Blocks to one narrow row per line that is not blank."""
-    hashes = WordHashes()
     for batch in batches:
         for row in batch.to_pylist():
             texts = textblocks.texts_of(row)
@@ -160,7 +166,7 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                             line.append(k)
                             yield words
 
-            marks = simhashes(words_of_lines(), hashes)
+            marks = simhashes(words_of_lines())
             columns = {
                 "node": pa.array(np.array(nodes, np.uint64).astype(np.int64), pa.int64()),
                 "mark": pa.array(marks.astype(np.int64), pa.int64()),

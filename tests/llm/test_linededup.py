@@ -4,7 +4,6 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from lotwise.llm import linededup
-from lotwise.llm.ngramjoin import WordHashes
 from test_copies import groups
 from texts import descriptions, listings, none, prose
 
@@ -43,7 +42,7 @@ def brute(texts):
                 places.append((n, k, body))
                 first.setdefault(body, (n, k))
     bodies = list(first)
-    marks = linededup.simhashes([b.split() for b in bodies], WordHashes())
+    marks = linededup.simhashes([b.split() for b in bodies])
     links = []
     for a in range(len(bodies)):
         for b in range(a):
