@@ -31,13 +31,15 @@ class Rule:
     ``pattern`` is a regular expression over ASCII of literals, ``[...]``, ``(...)``, ``|``, ``?``, ``*``, ``+``,
     ``{n}`` and ``{n,}``; ``(?i:...)`` takes letters in either case.  A match shorter than ``least`` characters is
     passed over as a whole; with ``tail`` only the characters from the first possible end on are counted, that is,
-    those of a pattern's last repeated class.
+    those of a pattern's last repeated class.  ``more`` is what a match goes on over where it can; it may be empty, so
+    that it takes no part in finding where matches begin.
     """
 
     kind: str
     pattern: str
     least: int = 1
     tail: bool = False
+    more: str = ""
 
 
 #: The three base kinds, in their listed order.
@@ -51,9 +53,18 @@ BASE_RULES = (
     Rule("access", r"AKIA[A-Z0-9]+", least=16),
     Rule("hex", r"[0-9a-f]{32,}"),
 )
+#: A private key runs to its END line, over whatever a source wraps its lines in (escapes, quotes, indents), but not
+#: over two dashes, where another key may begin.  A key cut short has no such line: its header fields, then runs of at
+#: least 16 base64 characters, and behind them one that may be shorter.
+_PEM_WHOLE = r"(-?[\x00-,.-\xff])*-----END\x20([A-Z]+\x20)*PRIVATE\x20KEY-----"
+_PEM_GAP = r"([\x09\x0a\x0d\x20\"'>,+]|\\[nrt]?)*"
+_PEM_CUT = (
+    rf"({_PEM_GAP}(Proc-Type|DEK-Info):[A-Za-z0-9,\x20-]+)*"
+    rf"({_PEM_GAP}[A-Za-z0-9+/=]{{16,}})*({_PEM_GAP}[A-Za-z0-9+/=]+)?"
+)
 #: Kinds added to the base ones.
 MORE_RULES = (
-    Rule("pem", r"-----BEGIN\x20([A-Z]+\x20)*PRIVATE\x20KEY-----"),
+    Rule("pem", r"-----BEGIN\x20([A-Z]+\x20)*PRIVATE\x20KEY-----", more=f"{_PEM_WHOLE}|{_PEM_CUT}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", least=40),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]+", least=40),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]+", least=20),
@@ -231,6 +242,8 @@ def compile_rules(rules: Sequence[Rule], anchored: bool, backward: bool) -> Auto
     ends = {}
     for number, rule in enumerate(rules):
         tree = _Parser(rule.pattern).whole()
+        if rule.more and not backward:
+            tree = ("seq", [tree, _Parser(rule.more).whole()])
         ends[net.build(_backwards(tree) if backward else tree, root)] = number
     if not anchored:
         net.step.append((frozenset(range(256)), root))
