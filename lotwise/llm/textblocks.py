@@ -83,7 +83,12 @@ def blocks(listings: DataFrame, rest: bool = False) -> DataFrame:
     whoever uses them in several jobs needs listings that are read alike each time, that is, a stored table and
     not the unordered result of a shuffle.
     """
-    return _chosen(listings, rest).mapInArrow(_cut, BLOCK).repartition("block")
+    return cut(listings, rest).repartition("block")
+
+
+def cut(listings: DataFrame, rest: bool = False) -> DataFrame:
+    """The same blocks where the rows lie."""
+    return _chosen(listings, rest).mapInArrow(_cut, BLOCK)
 
 
 def from_blocks(listings: DataFrame, run: Callable, schema: str) -> DataFrame:

@@ -69,3 +69,40 @@ def test_empty_table(spark):
     scorer = lmscore.fit(given)
     one = scorer.score(listings(spark, [prose(random.Random(1), 5)]), counted=False).first()
     assert one.difference == 0
+
+
+def test_rare_words_stay_rare_among_many(spark):
+    """More words and pairs than the tables of fixed size had slots for: every count is still that of its own word."""
+    texts = [" ".join(f"w{n * 700 + k}" for k in range(700)) for n in range(400)]
+    texts += ["again and again", "again and again", "w1 w2 w3 unheard"]
+    given = spark.createDataFrame([(n, t, n % 2 == 0) for n, t in enumerate(texts)], "id long, description string, in_target boolean")
+    given = given.repartition(3, "id")
+    scorer = lmscore.fit(given)
+    rows = {r.id: r for r in scorer.score(given).collect()}
+    words = len({w for t in texts for w in t.split()})
+    for n in (0, 1, 399, 400, 402):
+        chosen = [k % 2 == 0 for k in range(len(texts))]
+        target, background = many(texts, chosen, n, words)
+        assert np.isclose(rows[n].target_loss, target, rtol=1e-9)
+        assert np.isclose(rows[n].background_loss, background, rtol=1e-9)
+
+
+def many(texts, chosen, n, vocabulary):
+    """``brute`` over a vocabulary of another size."""
+    kept, lmscore.WORDS = lmscore.WORDS, vocabulary
+    try:
+        return brute(texts, chosen, n)
+    finally:
+        lmscore.WORDS = kept
+
+
+def test_other_listings_are_scored_with_and_without_their_own_counts(spark):
+    texts = [t for t in descriptions(4) if len(t or "") < 3000]
+    chosen = [n % 3 == 0 for n in range(len(texts))]
+    given = listings(spark, texts).withColumn("in_target", F.col("id") % 3 == 0)
+    scorer = lmscore.fit(given)
+    part = {r.id: r for r in scorer.score(given.filter("id % 4 = 1")).collect()}
+    fresh = {r.id: r for r in scorer.score(given.filter("id % 4 = 1"), counted=False).collect()}
+    for n in range(5, len(texts), 4):
+        assert np.isclose(part[n].target_loss, brute(texts, chosen, n)[0], rtol=1e-9)
+        assert np.isclose(fresh[n].background_loss, brute(texts, chosen, n, counted=False)[1], rtol=1e-9)
