@@ -51,11 +51,20 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of every group of near copies; rows of one id stay or go together."""
+    """One document of every group of near copies: that of the smallest id, a null id counting as the smallest.
+
+    Rows are documents each for itself, also those that share an id or have none.
+    """
     queries.prepared(spark)
-    groups = ngramjoin.near_copies(_listings(docs), percent=80, width=5)
-    gone = groups.filter(F.col("component") != F.col("id")).select(F.col("id").alias("doc_id")).distinct()
-    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    # Written once, so that a number means the same row in every job.
+    rows = saved(docs.select(*COLUMNS).withColumn("number", F.monotonically_increasing_id()))
+    numbered = rows.select(F.col("number").alias("id"), F.col("text").alias("description"))
+    groups = ngramjoin.near_copies(numbered, percent=80, width=5).withColumnRenamed("id", "number")
+    placed = groups.join(rows.select("number", "doc_id"), "number").select("component", F.struct("doc_id", "number").alias("place"))
+    placed = saved(placed)
+    kept = placed.groupBy("component").agg(F.min("place").alias("kept"), F.count("place").alias("n")).filter("n > 1")
+    gone = placed.join(kept, "component").filter(F.col("place.number") != F.col("kept.number"))
+    return rows.join(gone.select("place.number"), "number", "left_anti").select(*COLUMNS)
 
 
 def masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

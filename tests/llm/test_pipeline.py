@@ -98,3 +98,13 @@ def test_packing(stages):
     for p in sorted(stages[5], key=lambda p: p.start):
         pieces.setdefault(p.doc_id, []).extend(p.token_ids)
     assert pieces == {n: [*library.encode(t or "", add_special_tokens=False).ids, 2] for n, t in texts(stages[4]).items()}
+
+
+def test_copies_without_an_id_or_of_one_id(spark, tmp_path):
+    text, other = prose(random.Random(3), 40), prose(random.Random(4), 40)
+    rows = [(7, text), (None, other), (None, other), (3, other), (5, text), (5, text), (5, None), (5, ""), (6, text + " x"), (None, None)]
+    frame = spark.createDataFrame([(n, t, "en", "s", 0) for n, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    frame.repartition(3).write.parquet(f"{tmp_path}/docs")
+    found = corpus_pipeline.copies(spark, spark.read.parquet(f"{tmp_path}/docs"), str(tmp_path))
+    wanted = [(5, text), (None, other), (5, None), (5, ""), (None, None)]
+    assert sorted(map(str, ((r.doc_id, r.text) for r in found.collect()))) == sorted(map(str, wanted))
