@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from lotwise.llm import bpe, linededup, linequality, lmscore, neighbours, ngramjoin, packing, repeats, secrets, topk
+from lotwise.llm import balltree, bestfit, bpe, bytebpe, linededup, linequality, lmscore, neighbours, ngramjoin, packing
+from lotwise.llm import repeats, secrets, spelling, topk
 from lotwise.session import prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,6 +47,12 @@ def word_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def byte_vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def as_listings(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("doc_id").alias("id"), F.col("text").alias("description"))
 
@@ -212,3 +219,74 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Labels grow with the documents: the plan is that of two large sides at every size.
     marked = texts.join(good.hint("merge"), "id", "left")
     return lmscore.fit(marked).score(marked).withColumnRenamed("id", "doc_id")
+
+
+RANKED = r"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents WHERE doc_id IS NOT NULL),
+  c AS (SELECT count(*) AS n, sum(len(w)) AS l FROM d WHERE len(w) > 0),
+  i AS (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark),
+  q AS (SELECT item_id, t, count(*) AS r FROM i GROUP BY ALL),
+  p AS (SELECT doc_id, len(w) AS n, unnest(w) AS t FROM d),
+  f AS (SELECT doc_id, n, t, count(*) AS tf FROM p WHERE t IN (SELECT t FROM q) GROUP BY ALL),
+  w AS (SELECT t, CAST(floor(1000 * ln((2 * c.n + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM f, c GROUP BY t, c.n),
+  s AS (SELECT item_id, doc_id, CAST(sum(r * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * f.n * c.n) // c.l)))) AS BIGINT) AS score
+    FROM q JOIN f USING (t) JOIN w USING (t), c GROUP BY ALL),
+  o AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s WHERE score > 0)
+  SELECT item_id, rank, doc_id, score FROM o WHERE rank <= 10"""
+
+#: The checksum is worked out from its polynomial; the table of 256 steps comes from the rule.
+VARIANTS = r"""WITH RECURSIVE steps AS (SELECT list(v ORDER BY b) AS t FROM (SELECT b, list_reduce([b] || range(8),
+    lambda x, k: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END) AS v FROM range(256) r(b))),
+  o AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{00C0}-\x{00FF}]+')) AS w FROM documents),
+  runs AS (SELECT doc_id, w, count(*) AS c FROM o GROUP BY ALL),
+  h AS (SELECT w, c, xor(list_reduce([4294967295] || list_transform(flatten(list_transform(string_split(
+      coalesce(CAST(doc_id AS VARCHAR), '') || ':' || w, ''), lambda x: CASE WHEN unicode(x) < 128 THEN [CAST(unicode(x) AS BIGINT)]
+        ELSE [CAST(192 + unicode(x) // 64 AS BIGINT), CAST(128 + unicode(x) % 64 AS BIGINT)] END)), lambda x: x),
+    lambda a, b: xor(a // 256, steps.t[xor(a % 256, b) + 1])), 4294967295) AS h FROM runs, steps),
+  m AS (SELECT CASE WHEN h % 97 = 0 THEN w[1:h % length(w)] || w[h % length(w) + 2:] ELSE w END AS word, c FROM h),
+  v AS (SELECT word, CAST(sum(c) AS BIGINT) AS n FROM m WHERE length(word) >= 5 GROUP BY word HAVING sum(c) >= 3),
+  cut AS (SELECT word, n, k, word[1:k - 1] || word[k + 1:] AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS k FROM v)),
+  near AS (SELECT a.word, b.word AS other, b.n FROM cut a JOIN cut b ON a.k = b.k AND a.rest = b.rest AND a.word <> b.word
+    UNION SELECT a.word, b.word, b.n FROM cut a JOIN v b ON a.rest = b.word UNION SELECT b.word, a.word, a.n FROM cut a JOIN v b ON a.rest = b.word),
+  best AS (SELECT word, count(*) AS n_near, first(other ORDER BY n DESC, encode(other)) AS other, max(n) AS other_n FROM near GROUP BY word),
+  forms AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 2 * v.n THEN other END AS form,
+    CASE WHEN other_n >= 2 * v.n THEN other_n END AS form_n FROM v LEFT JOIN best USING (word)),
+  onward AS (SELECT word, word AS root FROM forms UNION ALL SELECT o.word, f.form FROM onward o JOIN forms f ON o.root = f.word WHERE f.form IS NOT NULL),
+  last AS (SELECT o.word, o.root FROM onward o JOIN forms f ON o.root = f.word WHERE f.form IS NULL)
+  SELECT word, form, root, n, CAST(n_near AS BIGINT) AS n_near, CAST(form_n AS BIGINT) AS form_n FROM forms JOIN last USING (word)"""
+
+
+@query("op11_ball_tree_search", RANKED)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    searches = items.select(F.col("item_id").alias("search_id"), "text")
+    found = balltree.rank_listings(listings(spark, sf_dir), searches, k=10)
+    return found.select(F.col("search_id").alias("item_id"), "rank", F.col("id").alias("doc_id"), "score")
+
+
+def misspelt(words: DataFrame) -> DataFrame:
+    """Words with one letter taken out where their checksum says so."""
+    h = F.crc32(F.concat(F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit(":"), F.col("word")).cast("binary"))
+    place = (h % F.length("word")).cast("int")
+    taken = F.concat(F.substring("word", F.lit(1), place), F.substring(F.col("word"), place + 2, F.length("word")))
+    return words.select("id", F.when(h % 97 == 0, taken).otherwise(F.col("word")).alias("word"))
+
+
+@query("op12_reduced_alphabet_variants", VARIANTS)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = misspelt(spelling.description_words(listings(spark, sf_dir)))
+    found = spelling.spelling_groups(spelling.vocabulary(words, least_length=5, least_count=3), times=2)
+    return found.select("word", "form", "root", "n", "n_near", "form_n")
+
+
+@query("op13_certified_best_fit")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = bytebpe.encode_descriptions(listings(spark, sf_dir), byte_vocabulary(), ended_by=2)
+    pieces = bestfit.cut_listings(encoded, max_tokens=1024)
+    narrow = pieces.select(
+        F.col("id").alias("doc_id"), "piece", "start", "length", ids_crc32("token_ids").alias("ids_crc32")
+    )
+    packed = bestfit.pack_best_fit(narrow, max_tokens=1024)
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "certified")
