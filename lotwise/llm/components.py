@@ -34,7 +34,7 @@ def components(links: DataFrame) -> DataFrame:
     pairs = links.select(F.greatest(first, second).alias("a"), F.least(first, second).alias("b"))
     now, mark = saved(pairs.filter(F.col("a") > F.col("b")).distinct()), None
     while True:
-        sign = now.agg(F.count("a"), F.sum(F.xxhash64("a", "b") % 1_000_003)).first()
+        sign = now.agg(F.count("a"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")), F.bit_xor(F.xxhash64("b", "a"))).first()
         if tuple(sign) == mark or not sign[0]:
             break
         mark, now = tuple(sign), saved(_star(_star(now, large=True), large=False))

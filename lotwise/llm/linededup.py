@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from lotwise.llm import elsewhere, textblocks
 from lotwise.llm.linking import linked_groups
 from lotwise.llm.ngramjoin import M1, M2, mixed
-from lotwise.llm.wire import unpack_sorted
+from lotwise.llm.wire import gives_back, unpack_sorted
 from lotwise.session import saved
 
 DISTANCE = 3
@@ -149,6 +149,7 @@ def _near(marks: np.ndarray, k: int, others: np.ndarray) -> np.ndarray:
     return np.bitwise_count(marks[others] ^ marks[k]) <= DISTANCE
 
 
+@gives_back
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Blocks to one narrow row per line that is not blank."""
     for batch in batches:
@@ -210,6 +211,7 @@ def _asks(buckets: int):
     return run
 
 
+@gives_back
 def _shared(packs: pa.Table, replies: pa.Table) -> pa.Table:
     """(key, node) of the buckets in which a line is not alone."""
     known = [unpack_sorted(x) for x in replies.column("numbers").to_pylist()]
@@ -225,6 +227,7 @@ def _shared(packs: pa.Table, replies: pa.Table) -> pa.Table:
     return pa.table({"key": pa.array(keys, pa.int64()), "node": pa.array(np.concatenate(out_nodes), pa.int64())})
 
 
+@gives_back
 def _bodies(blocks: pa.Table, wanted: pa.Table) -> pa.Table:
     """The normalised text of the wanted lines of one block."""
     rows = wanted.to_pylist()
@@ -249,6 +252,7 @@ def _bodies(blocks: pa.Table, wanted: pa.Table) -> pa.Table:
 def _without(columns: list[str]):
     """A block's listings without the lines to remove."""
 
+    @gives_back
     def run(blocks: pa.Table, removed: pa.Table) -> pa.Table:
         gone: dict[int, set[int]] = {}
         for row, line in zip(removed.column("row").to_pylist(), removed.column("line").to_pylist(), strict=True):
@@ -279,15 +283,16 @@ def remove_near_lines(listings: DataFrame, percent: int = 80) -> DataFrame:
     links one occurrence stays: that of the smallest id (a null id counts as the smallest), then the first line.
     Blank lines stay and link with nothing.  A null description becomes an empty one.  One row per input row,
     repeated rows included: of those the first in the table's layout keeps its lines.  Other columns stay as they are
-    but a column named ``removed_lines`` is replaced.  Lines are told apart by 64-bit hashes.  Several jobs read
-    the listings: give a stored table (see ``textblocks.blocks``).
+    but a column named ``removed_lines`` is replaced.  Lines are told apart by 64-bit hashes.
     """
     names = [c for c in listings.columns if c != "removed_lines"]
     listings = listings.select(*[f"`{c}`" for c in names])
     partitions = int(listings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blocks = textblocks.blocks(listings, rest=True)
+    # Written once: several jobs name rows by block and place, which must mean the same rows in all of them.
+    cut = saved(textblocks.cut(listings, rest=True))
+    blocks = cut.repartition("block")
     kinds = "node long, mark long, id long, block long, row int, line int"
-    lines = saved(textblocks.from_blocks(listings, _lines, kinds))
+    lines = saved(cut.mapInArrow(_lines, kinds))
 
     place = F.struct("id", "block", "row", "line")
     different = saved(lines.groupBy("node").agg(F.min("mark").alias("mark"), F.min(place).alias("first")))
@@ -296,7 +301,7 @@ def remove_near_lines(listings: DataFrame, percent: int = 80) -> DataFrame:
     shared = packs.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_shared, "key long, node long")
 
     def items(nodes: DataFrame) -> DataFrame:
-        texts = textblocks.blocks(listings)
+        texts = cut.select("block", "lengths", "text").repartition("block")
         wanted = different.join(nodes, "node").select("node", "mark", "first.block", "first.row", "first.line")
         whole = texts.groupBy("block").cogroup(wanted.groupBy("block"))
         return whole.applyInArrow(_bodies, "node long, mark binary, body binary")

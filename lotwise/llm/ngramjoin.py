@@ -23,11 +23,12 @@ from pyspark.sql import functions as F
 
 from lotwise.llm import elsewhere
 from lotwise.llm.linking import linked_groups
-from lotwise.llm.wire import pack_numbers, unpack_numbers, unpack_sorted
+from lotwise.llm.wire import gives_back, pack_numbers, unpack_numbers, unpack_sorted
 from lotwise.session import saved
 
-#: Text bytes after which a block is closed.
+#: Text bytes, and bytes of signatures, after which a block is closed.
 BLOCK_BYTES = 12 << 20
+BLOCK_SIGNATURES = 6 << 20
 #: Buckets of the signature range for each shuffle partition.
 BUCKETS_PER_PARTITION = 2
 SIGNATURE_BITS = 48
@@ -131,10 +132,11 @@ def signatures(shingles: np.ndarray, percent: int) -> np.ndarray:
 def _cut(percent: int, width: int):
     """Listings to blocks: ids, set sizes and keys of all, and the signatures of each different set."""
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
         hashes = WordHashes()
-        ids, sizes, keys, owners, counts, parts, seen, held = [], [], [], [], [], [], set(), 0
+        ids, sizes, keys, owners, counts, parts, seen, held, kept = [], [], [], [], [], [], set(), 0, 0
 
         def block() -> pa.RecordBatch:
             flat = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
@@ -162,11 +164,12 @@ def _cut(percent: int, width: int):
                         owners.append(len(ids) - 1)
                         counts.append(len(made))
                         parts.append(made)
+                        kept += len(made) * SIGNATURE_BITS // 8
                 held += len(text)
-                if held >= BLOCK_BYTES:
+                if held >= BLOCK_BYTES or kept >= BLOCK_SIGNATURES:
                     yield block()
                     number += 1
-                    ids, sizes, keys, owners, counts, parts, seen, held = [], [], [], [], [], [], set(), 0
+                    ids, sizes, keys, owners, counts, parts, seen, held, kept = [], [], [], [], [], [], set(), 0, 0
         if ids:
             yield block()
 
@@ -190,6 +193,7 @@ def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _asks(buckets: int):
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, packed in elsewhere.batches_of(batches, "block", "signatures"):
             yield elsewhere.ask_rows(block, np.unique(_open_signatures(packed)), buckets, SIGNATURE_BITS)
@@ -197,6 +201,7 @@ def _asks(buckets: int):
     return run
 
 
+@gives_back
 def _shared(blocks: pa.Table, replies: pa.Table) -> pa.Table:
     """(key, id) of the signatures that another block, or another set of this block, has too."""
     out_keys, out_ids = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]

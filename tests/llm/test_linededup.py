@@ -90,6 +90,21 @@ def test_lines_equal_brute_force(spark):
     assert rows[3].block == "b" and rows[3].start == 6 and rows[3].key == 1.5
 
 
+def test_layout_may_change_between_jobs(spark, tmp_path):
+    texts = corpus()
+    wanted, _, _ = brute(texts)
+    listings(spark, texts, partitions=8).select("id", "description").write.parquet(str(tmp_path / "listings"))
+    cleaned = linededup.remove_near_lines(spark.read.parquet(str(tmp_path / "listings")))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("4k", "64m"):  # other splits than those the first jobs saw
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            rows = {r.id: r.description for r in cleaned.collect()}
+            assert [rows[n] for n in range(len(texts))] == wanted
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_repeated_rows_keep_one_occurrence(spark):
     frame = spark.createDataFrame([(1, "same line here"), (1, "same line here"), (None, "Same  line here")], "id long, description string")
     found = linededup.remove_near_lines(frame.withColumn("removed_lines", F.lit("old"))).collect()
