@@ -28,11 +28,11 @@ from pyspark.sql import functions as F
 from lotwise.llm.wire import pack_numbers, pack_words, spread, unpack_numbers, unpack_words
 from lotwise.session import saved
 
-#: Text bytes and listings of a block of listings; term bytes and searches of a block of searches.
+#: Text bytes and listings of a block of listings; term bytes and searches expected in a block of searches.
 BLOCK_BYTES, BLOCK_LISTINGS = 12 << 20, 4096
 SEARCH_BYTES, SEARCHES = 32 << 10, 512
 #: Listings of a leaf; a split with less than one part in so many on one side is made at the middle instead.
-LEAF, LOPSIDED = 16, 8
+LEAF, LOPSIDED = 32, 8
 #: Lists merged at once below the root.
 FAN_IN = 64
 #: Room for the rounding of sums: relative to what is added up.
@@ -132,34 +132,23 @@ class _Searches:
     repeats: np.ndarray
 
 
-def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(search_id, terms, repeats, weights) to blocks of searches."""
-    numbers, ids, weights, starts, codes, repeats, held = _Numbers(), [], [], [0], [], [], 0
-
-    def block() -> pa.RecordBatch:
-        row = _binary(
-            search_ids=np.array(ids, "<i8").tobytes(), words=pack_words(list(numbers)),
-            weights=np.array(weights, "<i8").tobytes(), starts=pack_numbers(np.array(starts)),
-            codes=pack_numbers(np.array(codes)), repeats=pack_numbers(np.array(repeats)),
-        )
-        return pa.RecordBatch.from_pydict({"searches": pa.array([len(ids)], pa.int32()), **row})
-
-    for batch in batches:
-        for row in batch.to_pylist():
-            ids.append(row["search_id"])
-            for entry in row["entries"]:
-                code = numbers[entry["term"]]
-                if code == len(weights):
-                    weights.append(entry["weight"])
-                    held += len(entry["term"]) + 1
-                codes.append(code)
-                repeats.append(entry["repeats"])
-            starts.append(len(codes))
-            if held >= SEARCH_BYTES or len(ids) >= SEARCHES:
-                yield block()
-                numbers, ids, weights, starts, codes, repeats, held = _Numbers(), [], [], [0], [], [], 0
-    if ids:
-        yield block()
+def _gathered(rows: pa.Table) -> pa.Table:
+    """The searches (search_id, entries) of one block, packed."""
+    numbers, ids, weights, starts, codes, repeats = _Numbers(), [], [], [0], [], []
+    for row in rows.to_pylist():
+        ids.append(row["search_id"])
+        for entry in row["entries"]:
+            code = numbers[entry["term"]]
+            if code == len(weights):
+                weights.append(entry["weight"])
+            codes.append(code)
+            repeats.append(entry["repeats"])
+        starts.append(len(codes))
+    packed = _binary(
+        search_ids=np.array(ids, "<i8").tobytes(), words=pack_words(list(numbers)), weights=np.array(weights, "<i8").tobytes(),
+        starts=pack_numbers(np.array(starts)), codes=pack_numbers(np.array(codes)), repeats=pack_numbers(np.array(repeats)),
+    )
+    return pa.table({"searches": pa.array([len(ids)], pa.int32()), **packed})
 
 
 def _opened(row: dict) -> _Searches:
@@ -336,7 +325,12 @@ def _query_blocks(searches: DataFrame, blocks: DataFrame, n: int) -> DataFrame:
     odds = (F.lit(2 * n + 2).cast("double")) / (2 * F.col("df") + 1)
     weighed = asked.join(wanted.withColumn("weight", F.floor(1000 * F.log(odds)).cast("long")), "term")
     entries = F.sort_array(F.collect_list(F.struct("term", "weight", "repeats"))).alias("entries")
-    return weighed.groupBy("search_id").agg(entries).mapInArrow(_gathered, QUERY_BLOCK)
+    held = F.sum(F.length("term") + 1).alias("held")
+    whole = saved(weighed.groupBy("search_id").agg(entries, held))
+    found, size = whole.agg(F.count("held"), F.sum("held")).first()
+    parts = max(-(-found // SEARCHES), -(-(size or 0) // SEARCH_BYTES), 1)
+    dealt = whole.withColumn("part", F.pmod(F.xxhash64("search_id"), F.lit(parts)))
+    return dealt.groupBy("part").applyInArrow(_gathered, QUERY_BLOCK)
 
 
 def rank_listings(listings: DataFrame, searches: DataFrame, k: int = 10) -> DataFrame:

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
+from lotwise.llm import bytebpe
 from lotwise.session import saved
 
 #: Pieces expected in one partition, and most rounds.  The last round is the first of one partition, or the one after a
@@ -32,6 +33,31 @@ ROUNDINGS = 64
 CUT = "id long, piece int, start long, length long, token_ids array<int>"
 
 
+def _cut(batches: Iterator[pa.RecordBatch], max_tokens: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        lists = batch.column(1)
+        offsets = lists.offsets.to_numpy().astype(np.int64)
+        sizes = np.where(lists.is_null().to_numpy(zero_copy_only=False), 0, np.diff(offsets))
+        pieces = -(-sizes // max_tokens)
+        owner = np.repeat(np.arange(len(sizes)), pieces)
+        number = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        over = (sizes - (pieces - 1) * max_tokens)[owner]
+        length = np.where(number == 0, over, max_tokens)
+        start = np.where(number == 0, 0, over + (number - 1) * max_tokens)
+        values = lists.values.fill_null(0) if lists.values.null_count else lists.values
+        within = np.concatenate([[0], np.cumsum(length)])
+        if within[-1] == offsets[-1] - offsets[0]:  # pieces lie end to end as the lists do
+            taken = values.slice(offsets[0], within[-1])
+        else:
+            first = offsets[owner] + start - within[:-1]
+            taken = values.take(pa.array(np.repeat(first, length) + np.arange(within[-1])))
+        columns = [
+            batch.column(0).take(pa.array(owner)), pa.array(number, pa.int32()), pa.array(start, pa.int64()),
+            pa.array(length, pa.int64()), pa.ListArray.from_arrays(pa.array(within, pa.int32()), taken),
+        ]
+        yield pa.RecordBatch.from_arrays(columns, names=["id", "piece", "start", "length", "token_ids"])
+
+
 def cut_listings(encoded: DataFrame, max_tokens: int = 1024) -> DataFrame:
     """(id, piece, start, length, token_ids): listings longer than ``max_tokens`` cut, the others whole.
 
@@ -39,30 +65,15 @@ def cut_listings(encoded: DataFrame, max_tokens: int = 1024) -> DataFrame:
     and ``token_ids``; a null or empty list makes no piece, null tokens count as 0, repeated rows and null ids are rows
     like any other, other columns are not read.
     """
+    chosen = encoded.select(F.col("id").cast("long").alias("id"), F.col("token_ids").cast("array<int>"))
+    return chosen.mapInArrow(lambda batches: _cut(batches, max_tokens), CUT)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column(1)
-            offsets = lists.offsets.to_numpy().astype(np.int64)
-            sizes = np.where(lists.is_null().to_numpy(zero_copy_only=False), 0, np.diff(offsets))
-            pieces = -(-sizes // max_tokens)
-            owner = np.repeat(np.arange(len(sizes)), pieces)
-            number = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-            over = (sizes - (pieces - 1) * max_tokens)[owner]
-            length = np.where(number == 0, over, max_tokens)
-            start = np.where(number == 0, 0, over + (number - 1) * max_tokens)
-            values = lists.values.fill_null(0) if lists.values.null_count else lists.values
-            first = offsets[owner] + start
-            within = np.concatenate([[0], np.cumsum(length)])
-            taken = values.take(pa.array(np.repeat(first - within[:-1], length) + np.arange(within[-1])))
-            columns = [
-                batch.column(0).take(pa.array(owner)), pa.array(number, pa.int32()), pa.array(start, pa.int64()),
-                pa.array(length, pa.int64()), pa.ListArray.from_arrays(pa.array(within, pa.int32()), taken),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "piece", "start", "length", "token_ids"])
 
-    chosen = encoded.select(F.col("id").cast("long").alias("id"), F.col("token_ids").cast("array<int>"))
-    return chosen.mapInArrow(run, CUT)
+def cut_descriptions(listings: DataFrame, vocabulary: str, max_tokens: int = 1024, ended_by: int | None = None) -> DataFrame:
+    """``cut_listings`` of the byte-level ids of listings (``bytebpe.encode_descriptions``), in one worker."""
+    return bytebpe.chosen(listings).mapInArrow(
+        lambda batches: _cut(bytebpe.encoded(batches, vocabulary, ended_by), max_tokens), CUT
+    )
 
 
 def best_fit_decreasing(lengths: np.ndarray, max_tokens: int) -> tuple[np.ndarray, np.ndarray]:

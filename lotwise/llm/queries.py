@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from lotwise.llm import balltree, bestfit, bpe, bytebpe, linededup, linequality, lmscore, neighbours, ngramjoin, packing
+from lotwise.llm import balltree, bestfit, bpe, linededup, linequality, lmscore, neighbours, ngramjoin, packing
 from lotwise.llm import repeats, secrets, spelling, topk
 from lotwise.session import prepare
 
@@ -283,8 +283,7 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op13_certified_best_fit")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded = bytebpe.encode_descriptions(listings(spark, sf_dir), byte_vocabulary(), ended_by=2)
-    pieces = bestfit.cut_listings(encoded, max_tokens=1024)
+    pieces = bestfit.cut_descriptions(listings(spark, sf_dir), byte_vocabulary(), max_tokens=1024, ended_by=2)
     narrow = pieces.select(
         F.col("id").alias("doc_id"), "piece", "start", "length", ids_crc32("token_ids").alias("ids_crc32")
     )
