@@ -83,15 +83,51 @@ def parse_indian_date(value: Column) -> Column:
     return F.to_utc_timestamp(F.coalesce(local, only_day).cast("timestamp"), IST)
 
 
+_ISO_WHOLE = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:\d{2}(?::\d{2})?)$"
+
+
+def _from_week_date(text: Column) -> Column:
+    """Text that starts with an ISO week date (``2026-W44-3``, ``2026W443``, the day may lack) with its calendar date."""
+    whole = r"^(\d{4})(?:-W(\d{2})(?:-([1-7]))?|W(\d{2})([1-7])?)(?=$|[^0-9-])"
+
+    def part(k: int) -> Column:
+        return F.nullif(F.regexp_extract(text, whole, k), F.lit(""))
+
+    year = part(1).try_cast("int")
+    week = F.coalesce(part(2), part(4)).try_cast("int")
+    day = F.coalesce(part(3), part(5), F.lit("1")).try_cast("int")
+    fourth = F.make_date(year, F.lit(1), F.lit(4))  # always in week 1
+    date = F.date_add(F.date_sub(fourth, F.weekday(fourth)), 7 * (week - 1) + day - 1)
+    valid = (week >= 1) & (F.extract(F.lit("YEAROFWEEK"), date) == year)
+    return F.when(valid, F.concat(date.cast("string"), F.regexp_replace(text, whole, "")))
+
+
+def _spelt_out(text: Column) -> Column:
+    """Other ISO forms as ``date T time zone``: basic forms, hours or minutes alone, any one separator, no zone."""
+    text = F.when(text.rlike(r"^\d{4}-?W"), _from_week_date(text)).otherwise(
+        F.regexp_replace(text, r"^(\d{4})(\d{2})(\d{2})($|[^0-9])", "$1-$2-$3$4")
+    )
+    for form, whole in (
+        (r"^(.{10})$", "$1T00:00:00"),
+        (r"^(.{10}).(\d{2})($|Z|[+-])", "$1T$2:00:00$3"),
+        (r"^(.{10}).(\d{2}):?(\d{2})($|Z|[+-])", "$1T$2:$3:00$4"),
+        (r"^(.{10}).(\d{2})(\d{2})(\d{2})($|Z|[.+-])", "$1T$2:$3:$4$5"),
+        (r"^(.{10}).(\d{2}:\d{2}:\d{2})", "$1T$2"),
+        (r"(T[0-9:.]+[+-]\d{2})$", "$1:00"),
+        (r"(T[0-9:.]+[+-]\d{2})(\d{2})(?:(\d{2})(?:\.\d+)?)?$", "$1:$2:$3"),
+        (r"(T[0-9:.]+[+-]\d{2}:\d{2}):$", "$1"),
+        (r"(T[0-9:.]+[+-]\d{2}:\d{2}:\d{2})\.\d+$", "$1"),
+        (r"^(.{10}T[0-9:]{8}(?:\.\d+)?)$", "$1Z"),
+    ):
+        text = F.regexp_replace(text, form, whole)
+    return text
+
+
 def parse_iso_utc(value: Column) -> Column:
-    """ISO 8601 moment; ``Z`` and offsets are honoured, naive text is UTC."""
+    """ISO 8601 moment in any of its forms; ``Z`` and offsets are honoured, naive text is UTC, what is no moment is null."""
     text = F.replace(F.trim(value), F.lit(","), F.lit("."))
-    text = F.regexp_replace(text, r"^(\d{4}-\d{2}-\d{2})$", "$1T00:00:00")
-    text = F.regexp_replace(text, r"^(.{10}[T ]\d{2}:\d{2})($|Z|[+-])", "$1:00$2")
-    text = F.regexp_replace(text, r"([+-]\d{2})(\d{2})$", "$1:$2")
-    text = F.regexp_replace(text, r"^(.{10}[T ][0-9:]{8}(?:\.\d+)?)$", "$1Z")
-    whole = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:\d{2})$"
-    return F.regexp_extract(text, whole, 0).try_cast("timestamp")
+    text = F.when(text.rlike(_ISO_WHOLE), text).otherwise(_spelt_out(text))
+    return F.regexp_extract(text, _ISO_WHOLE, 0).try_cast("timestamp")
 
 
 def to_ist(moment: Column) -> Column:

@@ -151,6 +151,17 @@ ISO_TEXT = """SELECT event_id AS id, CASE event_id % 6
   WHEN 3 THEN CAST(CAST(ts AS DATE) AS VARCHAR(20))
   WHEN 4 THEN '2024-02-' || CAST(28 + user_id % 4 AS VARCHAR(20)) || 'T00:00:00Z'
   ELSE event_type END AS x FROM {events}"""
+ISO_FORMS = """SELECT event_id AS id, replace(CAST(CAST(ts AS DATE) AS VARCHAR(20)), '-', CASE WHEN event_id % 3 = 0 THEN '-' ELSE '' END)
+  || CASE event_id % 5 WHEN 0 THEN '' WHEN 1 THEN 'T' || CAST(10 + user_id % 14 AS VARCHAR(20)) WHEN 2 THEN 'T' || CAST(10 + user_id % 14 AS VARCHAR(20)) || '45'
+  WHEN 3 THEN 'T' || CAST(10 + user_id % 14 AS VARCHAR(20)) || '4510' ELSE ' ' || CAST(10 + user_id % 14 AS VARCHAR(20)) || ':45:10' END AS x FROM {events}"""
+_column_query(
+    "g7_parse_iso_basic_forms",
+    ISO_FORMS,
+    "moment",
+    lambda: stamp(dates.parse_iso_utc(F.col("x")), "moment"),
+    """strftime(try_strptime(replace(replace(replace(x, ' ', 'T'), '-', ''), ':', ''), ['%Y%m%dT%H%M%S', '%Y%m%dT%H%M', '%Y%m%dT%H', '%Y%m%d']),
+     '%Y-%m-%d %H:%M:%S')""",
+)
 _column_query(
     "g7_parse_iso_utc",
     ISO_TEXT,

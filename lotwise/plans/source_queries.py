@@ -245,8 +245,11 @@ def _vehicle_record() -> Column:
 
 
 def fetched_pages(spark: SparkSession, sf_dir: str, facts: str = FACTS) -> DataFrame:
-    """Pages of two registered sources and one unknown; every 41st page carries no record."""
-    rows = relation(spark, sf_dir, facts)
+    """Pages of two registered sources and one unknown; every 41st page carries no record.
+
+    The narrow facts are spread over the cores before page text is built from them, whatever files they lie in.
+    """
+    rows = relation(spark, sf_dir, facts).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "id")
     vehicle_page = F.col("id") % 4 == 0
     source = F.when(F.col("id") % 97 == 0, "elsewhere").when(vehicle_page, "psb_vehicle").otherwise("psb_property")
     folder = F.when(vehicle_page, "vehicle").otherwise("property")

@@ -145,3 +145,24 @@ def test_display_and_hashes(values):
 
 def test_flags_keep_order_without_repeats(values):
     assert values(lambda: quality.flags(F.lit("b"), F.lit(None), F.lit("a"), F.lit("b")), ["x"]) == [["b", "a"]]
+
+
+def test_iso_forms_equal_the_standard_reader(values):
+    from datetime import UTC, datetime
+
+    forms = [
+        "20261028T083000", "20261028", "2026-10-28T08", "2026-W44-3", "2026W443", "2026-W44", "2026W44T0830", "2026-W53-7", "2025-W53-1",
+        "2026-W44-3T08:30:15.25+05:30", "20261028T0830+0530", "20261028T083000.123Z", "2026-10-28T08:30:00,5", "2026-10-28x08:30",
+        "2026-10-28 08:30:00+05", "2026-10-28T08:30:00-053015", "2026-10-28T08:30:00.123456789Z", "2026-10-28T0830", " 2026-10-28 ",
+        "2026-1028", "2026-W443", "2026-W00-1", "2026-W44-8", "2026-13-01", "2026-10-28T25", "2026-10-28T08:3", "later", "", "2026-10", "+00:00",
+    ]
+
+    def wanted(text):
+        try:
+            moment = datetime.fromisoformat(text.strip().replace("Z", "+00:00"))
+        except ValueError:
+            return None
+        return (moment.astimezone(UTC) if moment.tzinfo else moment).replace(tzinfo=None).isoformat(timespec="microseconds")
+
+    got = values(lambda: F.date_format(dates.parse_iso_utc(F.col("x")), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), forms)
+    assert dict(zip(forms, got)) == {text: wanted(text) for text in forms}
