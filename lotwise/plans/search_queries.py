@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotwise.operators import search, status, textsearch
+from lotwise.operators import search, search_index, status, textsearch
 from lotwise.operators.search import Page, SearchQuery
-from lotwise.plans.catalogue import query
+from lotwise.plans.catalogue import ORACLES, query
 from lotwise.plans.relations import (
     CLOCK,
     CRAWL_RUNS,
@@ -23,6 +24,7 @@ from lotwise.plans.relations import (
     stamp_sql,
     table,
 )
+from lotwise.session import checkpoint_root, saved
 
 L = given(listings=LISTINGS)
 NOW = f"TIMESTAMP '{CLOCK}'"
@@ -345,6 +347,61 @@ def text_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("id", F.round(textsearch.rank("machinery sector"), 4).alias("score"))
 
 
+# --- stored index -----------------------------------------------------------
+
+
+def _indexed(spark: SparkSession, sf_dir: str, buckets: int = 16) -> DataFrame:
+    """An index of the listings as they were, brought up to date by three segments of changes.
+
+    Every third listing had another title and no locality then; every seventh was not there yet; and every listing with
+    a text of its own was there under a negative id and is removed.
+    """
+    path = f"{checkpoint_root(spark)}/index-{uuid.uuid4().hex}"
+    now = saved(listings(spark, sf_dir))
+    altered = now.withColumns({"title": F.concat(F.lit("Machinery sector of "), "city"), "locality": F.lit(None).cast("string")})
+    gone = now.filter("id % 11 = 0").withColumn("id", -F.col("id") - 1)
+    old = now.filter("id % 3 <> 0").unionByName(altered.filter("id % 3 = 0")).filter("id % 7 <> 0").unionByName(gone)
+    search_index.write_index(old, path, buckets)
+    search_index.add_changes(altered.filter("id % 3 = 0 AND id % 7 <> 0"), now.filter("id % 3 = 0 AND id % 7 <> 0"), path, 1, buckets)
+    search_index.add_changes(now.limit(0), now.filter("id % 7 = 0"), path, 2, buckets)
+    search_index.add_changes(gone, now.limit(0), path, 3, buckets)
+    return search_index.read_index(spark, path)
+
+
+@query(
+    "f6_indexed_rank",
+    f"""{L} SELECT id, CAST(round({RANK_SQL}, 4) AS DOUBLE) AS score FROM listings
+    WHERE contains({TEXT_HIT}, ' machinery ') AND contains({TEXT_HIT}, ' sector ')""",
+)
+def indexed_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = search_index.word_hits(_indexed(spark, sf_dir), "machinery sector", 16).filter("matches")
+    return hits.select("id", F.round("rank", 4).alias("score"))
+
+
+@query("b3_indexed_text", ORACLES["b3_text_predicate"])
+def indexed_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = SearchQuery(text='"unit 12" machinery or building -phase')
+    return search_index.indexed_filters(listings(spark, sf_dir), _indexed(spark, sf_dir), asked, clock(), 16).select(*ROW)
+
+
+@query("f4_indexed_relevance", ORACLES["f4_relevance"])
+def indexed_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = SearchQuery(text="machinery sector", sort="relevance", page=Page(1, 40))
+    page = search_index.indexed_page(listings(spark, sf_dir), _indexed(spark, sf_dir), asked, clock(), 16)
+    return page.select("id", "title", "city", money("reserve_price"), stamp("auction_start_at"))
+
+
+@query(
+    "f6_index_terms",
+    f"""{L}, w AS (SELECT id, unnest(string_split(trim({TEXT_HIT}), ' ')) AS term FROM listings)
+    SELECT term, count(DISTINCT id) AS n_listings, count(*) AS n_places FROM w WHERE term <> '' GROUP BY term""",
+)
+def index_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vocabulary of the compacted index: listings and places of every term."""
+    now = search_index.compacted(_indexed(spark, sf_dir)).filter(F.col("kind") == search_index.WORD)
+    return now.groupBy("term").agg(F.count("id").alias("n_listings"), F.sum(F.size("spots")).alias("n_places"))
+
+
 # --- lifecycle ------------------------------------------------------------
 
 
