@@ -41,7 +41,7 @@ KEY_KINDS = ("asset", "geo", "pin", "pinprice", "addr")
 #: Profiles of one key handled by one join task on each side.
 CELL_ROWS = 4_000
 
-_COMPARED = (
+COMPARED = (
     "asset_class", "asset_key", "state", "city", "pincode", "area_sqft", "reserve_price",
     "auction_start_at", "address_words", "has_locality", "locality_words",
 )
@@ -116,7 +116,7 @@ def _with_keys(rows: DataFrame) -> DataFrame:
 def profiles(listings: DataFrame, first_ids: Column | None = None) -> DataFrame:
     """Listings folded by equal attributes: profile_id (least id), members, members among the first ids."""
     within = F.lit(True) if first_ids is None else F.col("id") <= first_ids
-    folded = features(listings).groupBy(*_COMPARED).agg(
+    folded = features(listings).groupBy(*COMPARED).agg(
         F.min("id").alias("profile_id"), F.count(F.lit(1)).alias("members"), F.count_if(within).alias("leading")
     )
     return _with_keys(folded)
@@ -127,9 +127,9 @@ def profile_members(listings: DataFrame, folded: DataFrame) -> DataFrame:
 
     Joined on one hash of the compared attributes, which are then held against each other.
     """
-    hashed = F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in _COMPARED]).alias("_hash")
+    hashed = F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in COMPARED]).alias("_hash")
     a, b = features(listings).select("*", hashed).alias("a"), folded.select("*", hashed).alias("b")
-    same = reduce(lambda x, y: x & y, [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in _COMPARED])
+    same = reduce(lambda x, y: x & y, [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in COMPARED])
     return a.join(b, (F.col("a._hash") == F.col("b._hash")) & same).select("a.id", "b.profile_id")
 
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotwise.operators import linkage
-from lotwise.plans.catalogue import query
+from lotwise.operators import key_index, linkage
+from lotwise.plans.catalogue import ORACLES, query
 from lotwise.plans.relations import LISTINGS, given, listings, plain, relation
+from lotwise.session import checkpoint_root, saved
 
 STOP_SQL = ", ".join(f"'{word}'" for word in linkage.STOP_WORDS)
 
@@ -222,6 +225,32 @@ def scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linkage.scan(listings(spark, sf_dir))
 
 
+def _in_batches(spark: SparkSession, sf_dir: str, buckets: int = 16) -> tuple[DataFrame, str]:
+    """All listings and a key table to which they were added in three batches, the second of them twice."""
+    path = f"{checkpoint_root(spark)}/keys-{uuid.uuid4().hex}"
+    rows = saved(listings(spark, sf_dir))
+    for number, chosen in ((0, "id % 10 < 7"), (1, "id % 10 IN (7, 8)"), (1, "id % 10 IN (7, 8)"), (2, "id % 10 = 9")):
+        key_index.add_batch(rows.filter(chosen), path, number, buckets)
+    return rows, path
+
+
+@query("h7_scan_in_batches", ORACLES["h7_scan"])
+def scan_in_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return key_index.read_tally(spark, _in_batches(spark, sf_dir)[1])
+
+
+@query(
+    "c2_stored_matches",
+    f"""{SCORED} SELECT relationship, round(score, 6) AS score, count(*) AS members
+    FROM told WHERE (a_id = 11 OR b_id = 11) AND relationship <> 'distinct' GROUP BY ALL""",
+)
+def stored_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listing 11 against the key table, matches counted by verdict and score."""
+    rows, path = _in_batches(spark, sf_dir)
+    found = key_index.matches_of(rows, path, 11, 16)
+    return found.groupBy("relationship", F.round("score", 6).alias("score")).agg(F.sum("members").alias("members"))
+
+
 @query(
     "h7_scan_first_ids",
     f"""{SCORED}, lead AS (SELECT id FROM listings ORDER BY id LIMIT 2000)

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from lotwise.operators import crawl, upsert, url_state
 from lotwise.plans.relations import ATTEMPTS, FETCH_LOG, relation
-from lotwise.plans.state_queries import parsed_listings
+from lotwise.plans.state_queries import FETCH_LOG_OF_SOURCES, parsed_listings
 from lotwise.schemas import LISTING
 from lotwise.streaming import listing_stream, url_stream
 
@@ -49,6 +49,18 @@ def test_url_state_stream_equals_batch(spark, tmp_path):
         assert state_rows(kept) == state_rows(url_state.fold_url_state(log))
 
 
+def test_url_state_stream_keeps_source_and_date_header(spark, tmp_path):
+    log = relation(spark, SF, FETCH_LOG_OF_SOURCES).cache()
+    source = str(tmp_path / "log")
+    drop_files(log, source, "seq", 3)
+    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    run_once(url_stream.url_state_stream(stream), str(tmp_path / "rows"), "update", "memory", "url_rows_of_sources")
+    kept = url_stream.as_url_state(url_stream.latest(spark.table("url_rows_of_sources")), url_stream.HEADERS)
+    wanted = url_state.fold_url_state(log)
+    assert kept.filter("source_id IS NOT NULL AND last_modified IS NOT NULL").count() > 0
+    assert state_rows(kept) == state_rows(wanted)
+
+
 def test_listing_stream_equals_batch_and_repeats_safely(spark, tmp_path):
     parsed = parsed_listings(spark, SF).withColumns(
         {"quality_flags": F.lit(None).cast("array<string>"), "raw_payload": F.lit(None).cast("string")}
