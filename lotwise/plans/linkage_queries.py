@@ -226,10 +226,10 @@ def scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _in_batches(spark: SparkSession, sf_dir: str, buckets: int = 16) -> tuple[DataFrame, str]:
-    """All listings and a key table to which they were added in three batches, the second of them twice."""
+    """All listings and a key table to which they were added in three batches."""
     path = f"{checkpoint_root(spark)}/keys-{uuid.uuid4().hex}"
     rows = saved(listings(spark, sf_dir))
-    for number, chosen in ((0, "id % 10 < 7"), (1, "id % 10 IN (7, 8)"), (1, "id % 10 IN (7, 8)"), (2, "id % 10 = 9")):
+    for number, chosen in enumerate(("id % 10 < 7", "id % 10 IN (7, 8)", "id % 10 = 9")):
         key_index.add_batch(rows.filter(chosen), path, number, buckets)
     return rows, path
 
