@@ -43,7 +43,17 @@ def saved(rows: DataFrame) -> DataFrame:
     """
     path = f"{checkpoint_root(rows.sparkSession)}/saved-{uuid.uuid4().hex}"
     rows.write.parquet(path)
-    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+    table = rows.sparkSession.read.schema(rows.schema).parquet(path)
+    table.saved_at = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes ``saved`` tables that no later job reads: what was made of them has been saved itself."""
+    for table in tables:
+        session = table.sparkSession
+        path = session._jvm.org.apache.hadoop.fs.Path(table.saved_at)
+        path.getFileSystem(session._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def local_session(cores: int | str = 8, partitions: int = 8, memory: str = "8g") -> SparkSession:
