@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lotwise.session import saved
+from lotwise.session import discard, saved
 
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
@@ -26,7 +26,7 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, component) of every node that has a link: the smallest node it is connected with.
+    """(node, component) of every node that has a link, saved: the smallest node it is connected with.
 
     ``links`` has two columns of whole numbers in any order, repeated and self links allowed.
     """
@@ -37,6 +37,9 @@ def components(links: DataFrame) -> DataFrame:
         sign = now.agg(F.count("a"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")), F.bit_xor(F.xxhash64("b", "a"))).first()
         if tuple(sign) == mark or not sign[0]:
             break
-        mark, now = tuple(sign), saved(_star(_star(now, large=True), large=False))
+        before, mark, now = now, tuple(sign), saved(_star(_star(now, large=True), large=False))
+        discard(before)
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
+    found = saved(now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots))
+    discard(now)
+    return found

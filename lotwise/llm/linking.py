@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lotwise.llm.components import components
-from lotwise.session import saved
+from lotwise.session import discard, saved
 
 #: Items of one bucket in a cell, per side.
 CELL_ITEMS = 1024
@@ -93,7 +93,7 @@ def linked_groups(
     near: Callable[[object, int, np.ndarray], np.ndarray],
     linked: Callable[[bytes, bytes], bool],
 ) -> DataFrame:
-    """(node, component) of every linked item.
+    """(node, component) of every linked item, saved.
 
     ``buckets`` has distinct (key, node).  ``items(nodes)`` gives (node, mark, body) of the wanted nodes.
     ``near(prepare(marks), k, others)`` must be true wherever ``linked(body, body)`` is.
@@ -115,7 +115,7 @@ def linked_groups(
         return _passing(close, known, "body", linked)
 
     links = saved(verified(tried))
-    first = saved(components(links))
+    first = components(links)
 
     labelled = shared.select("key", "node", "bucket_items").join(first, "node", "left")
     labelled = labelled.withColumn("component", F.coalesce("component", "node"))
@@ -124,6 +124,10 @@ def linked_groups(
     rows = labelled.join(several, "key", "left_semi").join(known.select("node", "mark"), "node")
     left = _cells(rows, prepare, near).join(tried, ["a", "b"], "left_anti")
     more = saved(_passing(left, known, "body", linked))
-    if more.isEmpty():
-        return first
-    return saved(components(links.unionByName(more)))
+    discard(shared, known, tried)
+    found = first
+    if not more.isEmpty():
+        found = components(links.unionByName(more))
+        discard(first)
+    discard(links, more)
+    return found

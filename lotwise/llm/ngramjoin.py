@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from lotwise.llm import elsewhere
 from lotwise.llm.linking import linked_groups
 from lotwise.llm.wire import gives_back, pack_numbers, unpack_numbers, unpack_sorted
-from lotwise.session import saved
+from lotwise.session import discard, saved
 
 #: Text bytes, and bytes of signatures, after which a block is closed.
 BLOCK_BYTES = 12 << 20
@@ -283,6 +283,7 @@ def near_copies(listings: DataFrame, percent: int = 80, width: int = 5) -> DataF
     first = profiles.filter(F.col("size") > 0).groupBy(*same).agg(F.min("id").alias("node"), F.count("id").alias("copies"))
     named = profiles.join(first, same, "left").withColumn("node", F.coalesce("node", "id"))
     named = saved(named.select("id", "size", "node"))
+    discard(profiles)
     rows = wanted.join(named.select("id", "node").distinct(), "id").select("key", "node").distinct()
 
     def sets(nodes: DataFrame) -> DataFrame:
@@ -298,6 +299,7 @@ def near_copies(listings: DataFrame, percent: int = 80, width: int = 5) -> DataF
         return chosen.mapInArrow(run, "node long, mark binary, body binary")
 
     groups = linked_groups(rows, sets, prepare_sketches, near_sketches(percent), similar(percent))
+    discard(cut)
     found = named.join(groups, "node", "left")
     # A listing whose id has several rows: all its rows are one listing.
     return found.select("id", "size", F.coalesce("component", "node").alias("component"))
