@@ -92,16 +92,19 @@ def linked_groups(
     prepare: Callable[[list[bytes]], object],
     near: Callable[[object, int, np.ndarray], np.ndarray],
     linked: Callable[[bytes, bytes], bool],
+    read: Callable[[], None] = lambda: None,
 ) -> DataFrame:
     """(node, component) of every linked item, saved.
 
     ``buckets`` has distinct (key, node).  ``items(nodes)`` gives (node, mark, body) of the wanted nodes.
-    ``near(prepare(marks), k, others)`` must be true wherever ``linked(body, body)`` is.
+    ``near(prepare(marks), k, others)`` must be true wherever ``linked(body, body)`` is.  ``read`` is called when
+    the buckets have been read for the last time.
     """
     ends = buckets.groupBy("key").agg(
         F.min("node").alias("low"), F.max("node").alias("high"), F.count(F.lit(1)).alias("bucket_items")
     )
     shared = saved(buckets.join(ends.filter(F.col("low") < F.col("high")), "key"))
+    read()
     known = saved(items(shared.select("node").distinct()))
 
     starts = shared.select(F.col("low").alias("a"), F.col("node").alias("b"))

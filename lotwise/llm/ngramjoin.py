@@ -298,8 +298,8 @@ def near_copies(listings: DataFrame, percent: int = 80, width: int = 5) -> DataF
         chosen = texts.join(nodes.withColumnRenamed("node", "id"), "id", "left_semi")
         return chosen.mapInArrow(run, "node long, mark binary, body binary")
 
-    groups = linked_groups(rows, sets, prepare_sketches, near_sketches(percent), similar(percent))
-    discard(cut)
+    compare = prepare_sketches, near_sketches(percent), similar(percent)
+    groups = linked_groups(rows, sets, *compare, read=lambda: discard(cut))
     found = named.join(groups, "node", "left")
     # A listing whose id has several rows: all its rows are one listing.
     return found.select("id", "size", F.coalesce("component", "node").alias("component"))
