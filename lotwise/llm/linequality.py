@@ -13,13 +13,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from operator import eq
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: The bound of the fitting sample: listings, and lines of one listing.
+#: The bound of the fitting sample: listings, and lines of one listing, a stretch of them anywhere in it.
 FIT_LISTINGS = 4000
 FIT_LINES = 400
 ROUNDS = 150
@@ -81,16 +82,14 @@ def _measures(line: bytes, seen: set[bytes]) -> tuple[float, ...]:
     )
 
 
-def line_features(texts: list[str], most_lines: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(features, weights, counts): per line its active features and its length in bytes, per text its lines.
 
-    A text without lines counts as one empty line.  ``most_lines`` bounds the lines of a text, for fitting.
+    A text without lines counts as one empty line.
     """
     rows, counts = [], []
     for text in texts:
         lines = (text or "").encode().split(b"\n")
-        if most_lines:
-            lines = lines[:most_lines]
         seen: set[bytes] = set()
         rows.extend([_measures(line.strip(), seen) for line in lines])
         counts.append(len(lines))
@@ -110,6 +109,12 @@ def line_features(texts: list[str], most_lines: int | None = None) -> tuple[np.n
     return active.astype(np.int16), np.maximum(raw[:, 0], 1), counts
 
 
+def stretch(text: str | None, lines: int, most: int = FIT_LINES) -> slice:
+    """The lines of a text that are learned from: all, or ``most`` neighbouring ones, placed by a hash of the text."""
+    first = crc32((text or "").encode()) % (lines - most + 1) if lines > most else 0
+    return slice(first, first + min(lines, most))
+
+
 def _chains(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Texts from the longest down, where each begins, and how many have a line at each position."""
     order = np.argsort(-counts, kind="stable")
@@ -246,8 +251,8 @@ def _divider(values: np.ndarray, labels: np.ndarray) -> float:
 def fit(listings: DataFrame, labels: DataFrame, sample: int = FIT_LISTINGS) -> QualityModel:
     """Learns from ``labels`` (id, quality 0 or 1) of ``listings`` (id, description).
 
-    At most ``sample`` labelled listings are used, the first by a hash of their ids, and ``FIT_LINES`` lines of each:
-    that bounds what one task gathers.  Lines are measured where the texts lie.  Null ids and labels fall out, a null
+    At most ``sample`` labelled listings are used, the first by a hash of their ids, and ``FIT_LINES`` neighbouring lines
+    of each, from anywhere in it: that bounds what one task gathers.  Whole texts are measured, where they lie.  Null ids and labels fall out, a null
     description is an empty one, repeated label rows count again.  Runs a job, as fitting does.
     """
     kept = labels.filter(F.col("quality").isin(0, 1)).select(F.col("id").cast("long").alias("id"), "quality")
@@ -256,10 +261,12 @@ def fit(listings: DataFrame, labels: DataFrame, sample: int = FIT_LISTINGS) -> Q
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            features, size, counts = line_features(batch.column(2).to_pylist(), FIT_LINES)
-            ends = np.cumsum(counts)
-            packed = [features[e - c : e].tobytes() for c, e in zip(counts, ends, strict=True)]
-            sizes = [size[e - c : e].tobytes() for c, e in zip(counts, ends, strict=True)]
+            texts = batch.column(2).to_pylist()
+            features, size, counts = line_features(texts)
+            starts = np.cumsum(counts) - counts
+            chosen = [stretch(t, n) for t, n in zip(texts, counts.tolist(), strict=True)]
+            packed = [features[a + s.start : a + s.stop].tobytes() for a, s in zip(starts, chosen, strict=True)]
+            sizes = [size[a + s.start : a + s.stop].tobytes() for a, s in zip(starts, chosen, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1).cast(pa.int32()), pa.array(packed, pa.binary()), pa.array(sizes, pa.binary())],
                 names=["id", "quality", "features", "sizes"],

@@ -20,11 +20,14 @@ from lotwise.session import prepare
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+#: Bytes after which a batch for a Python worker is closed.
+BATCH_BYTES = 4 << 20
 
 
 def prepared(spark: SparkSession) -> SparkSession:
-    """Rows of whole texts and id lists are wide: fewer of them go to a Python worker at once."""
+    """Rows of whole texts, id lists and blocks are wide: a Python worker gets fewer of them at once, by number and bytes."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return prepare(spark)
 
 

@@ -67,3 +67,12 @@ def test_rows_of_every_sort(spark):
     assert unknown.of_texts(["a", ""]).tolist() == [0.5, 0.5]
     one = linequality.fit(texts, labels.filter("quality = 1"))
     assert all(0 <= s <= 1 for s in one.of_texts(["a", "B | C"]))
+
+
+def test_long_texts_give_a_stretch_of_whole_text_features():
+    assert linequality.stretch(None, 1) == slice(0, 1)
+    assert linequality.stretch("a\nb", 2) == slice(0, 2)
+    texts = ["\n".join(f"line {n} of {k}" for k in range(1000)) for n in range(30)]
+    found = [linequality.stretch(t, 1000) for t in texts]
+    assert all(s.stop - s.start == linequality.FIT_LINES and 0 <= s.start and s.stop <= 1000 for s in found)
+    assert len({s.start for s in found}) > 20 and max(s.stop for s in found) > 900
