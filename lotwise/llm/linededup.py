@@ -1,6 +1,6 @@
 """Removal of near-identical lines over all listing descriptions; one occurrence of each group stays.
 
-Lines are normalised (lower case, digits as 0, single spaces) and equal ones folded.  Every different line has a
+Lines are normalised (lower case, single spaces) and equal ones folded.  Every different line has a
 64-bit SimHash of its words.  Two lines whose hashes differ in at most ``DISTANCE`` of the ``PIECES`` pieces' bits
 agree on ``PIECES - DISTANCE`` whole pieces; every such choice of pieces is a bucket.  Lines that meet in a bucket,
 differ in at most ``DISTANCE`` bits and reach the edit similarity are linked, and of every connected group the first
@@ -40,12 +40,11 @@ BUCKETS_PER_PARTITION = 2
 WORDS_AT_ONCE = 50_000
 MOST_WEIGHT = 9
 
-_ZERO = bytes.maketrans(b"123456789", b"000000000")
 _EDGES = [round(k * 64 / PIECES) for k in range(PIECES + 1)]
 
 
 def normalised(line: str) -> bytes:
-    return b" ".join(line.lower().encode().translate(_ZERO).split())
+    return b" ".join(line.lower().encode().split())
 
 
 def simhashes(lines: Iterable[list[bytes]]) -> np.ndarray:
@@ -160,7 +159,7 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
             def words_of_lines() -> Iterator[list[bytes]]:
                 for n, text in enumerate(texts):
-                    for k, raw in enumerate(text.lower().encode().translate(_ZERO).split(b"\n")):
+                    for k, raw in enumerate(text.lower().encode().split(b"\n")):
                         if words := raw.split():
                             nodes.append(xxhash.xxh3_64_intdigest(b" ".join(words)))
                             at.append(n)

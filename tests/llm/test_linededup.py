@@ -110,3 +110,9 @@ def test_repeated_rows_keep_one_occurrence(spark):
     found = linededup.remove_near_lines(frame.withColumn("removed_lines", F.lit("old"))).collect()
     assert sorted((r.description, r.removed_lines) for r in found) == [("", 1), ("", 1), ("Same  line here", 0)]
     assert linededup.remove_near_lines(none(spark)).count() == 0
+
+
+def test_lines_of_other_numbers_stay(spark):
+    texts = ["41\n2019: 1,234\ntotal 17", "57\n2021: 9,876\ntotal 88", "41\nlot 5"]
+    rows = {r.id: r.description for r in linededup.remove_near_lines(listings(spark, texts)).collect()}
+    assert [rows[n] for n in range(3)] == ["41\n2019: 1,234\ntotal 17", "57\n2021: 9,876\ntotal 88", "lot 5"]
