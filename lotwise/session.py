@@ -13,6 +13,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Whether the shuffle files of a query are removed when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Pin the session zone to UTC; leave every other setting to the cluster."""
@@ -39,11 +42,18 @@ def saved(rows: DataFrame) -> DataFrame:
     """Rows written once as a table under the checkpoint folder and read from there by every later use.
 
     For results that are costly to work out and read several times; they survive lost executors.
-    A written table rather than a checkpoint call, which works its input out twice.
+    A written table rather than a checkpoint call, which works its input out twice.  Shuffle files of the write are
+    removed when it ends: nothing reads them again.
     """
-    path = f"{checkpoint_root(rows.sparkSession)}/saved-{uuid.uuid4().hex}"
-    rows.write.parquet(path)
-    table = rows.sparkSession.read.schema(rows.schema).parquet(path)
+    spark = rows.sparkSession
+    path = f"{checkpoint_root(spark)}/saved-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        rows.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    table = spark.read.schema(rows.schema).parquet(path)
     table.saved_at = path
     return table
 
