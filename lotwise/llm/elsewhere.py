@@ -32,11 +32,18 @@ def ask_rows(block: int, numbers: np.ndarray, buckets: int, bits: int) -> pa.Rec
     )
 
 
+def _among(numbers: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Which numbers are among ascending others, by bisection: short lists meet one that may be long."""
+    if not len(others):
+        return np.zeros(len(numbers), bool)
+    return others[np.minimum(np.searchsorted(others, numbers), len(others) - 1)] == numbers
+
+
 def _answer(rows: pa.Table) -> pa.Table:
     asked = [unpack_sorted(x) for x in rows.column("numbers").to_pylist()]
     found, times = np.unique(np.concatenate(asked), return_counts=True)
     shared = found[times > 1]
-    hits = [x[np.isin(x, shared, assume_unique=True)] for x in asked]
+    hits = [x[_among(x, shared)] for x in asked]
     keep = [k for k, x in enumerate(hits) if len(x)]
     blocks = rows.column("block").to_pylist()
     return pa.table(

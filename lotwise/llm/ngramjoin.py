@@ -28,7 +28,7 @@ from lotwise.session import discard, saved
 
 #: Text bytes, and bytes of signatures, after which a block is closed.
 BLOCK_BYTES = 12 << 20
-BLOCK_SIGNATURES = 2 << 20
+BLOCK_SIGNATURES = 256 << 10
 #: Buckets of the signature range for each shuffle partition.
 BUCKETS_PER_PARTITION = 2
 SIGNATURE_BITS = 48
