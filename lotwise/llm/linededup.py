@@ -27,7 +27,7 @@ from lotwise.llm import elsewhere, textblocks
 from lotwise.llm.linking import linked_groups
 from lotwise.llm.ngramjoin import M1, M2, mixed
 from lotwise.llm.wire import gives_back, unpack_sorted
-from lotwise.session import saved
+from lotwise.session import discard, saved
 
 DISTANCE = 3
 PIECES = 6
@@ -310,7 +310,8 @@ def remove_near_lines(listings: DataFrame, percent: int = 80) -> DataFrame:
     kept = grouped.groupBy("component").agg(F.min("first").alias("kept"))
     # Only what is left of a line's own group decides: (node, kept) for every different line.
     fate = grouped.select("node", "component").join(kept, "component").select("node", "kept")
-    removed = lines.join(fate, "node").filter(~place.eqNullSafe(F.col("kept"))).select("block", "row", "line")
+    removed = saved(lines.join(fate, "node").filter(~place.eqNullSafe(F.col("kept"))).select("block", "row", "line"))
+    discard(lines, different)
 
     schema = listings.select(
         *[

@@ -272,18 +272,20 @@ def near_copies(listings: DataFrame, percent: int = 80, width: int = 5) -> DataF
         F.col("id").cast("long").alias("id"), F.col("description").cast("string").alias("description")
     )
     buckets = int(listings.sparkSession.conf.get("spark.sql.shuffle.partitions")) * BUCKETS_PER_PARTITION
-    # Written once: two jobs read the blocks, and their numbers must mean the same rows in both.
+    # Written once: several jobs read the blocks, and their numbers must mean the same rows in all of them.
     cut = saved(texts.mapInArrow(_cut(percent, width), BLOCK))
-    blocks = cut.repartition("block")
-    replies = elsewhere.answers(blocks.mapInArrow(_asks(buckets), elsewhere.ASK))
-    wanted = blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_shared, "key long, id long")
+    asks = cut.select("block", "signatures").mapInArrow(_asks(buckets), elsewhere.ASK)
+    replies = saved(elsewhere.answers(asks))
+    packed = cut.select("block", "ids", "owners", "counts", "signatures")
+    wanted = packed.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_shared, "key long, id long")
+    wanted = saved(wanted)
 
     profiles = saved(cut.mapInArrow(_profiles, "id long, size long, key long, key2 long"))
     same = ["size", "key", "key2"]
     first = profiles.filter(F.col("size") > 0).groupBy(*same).agg(F.min("id").alias("node"), F.count("id").alias("copies"))
     named = profiles.join(first, same, "left").withColumn("node", F.coalesce("node", "id"))
     named = saved(named.select("id", "size", "node"))
-    discard(profiles)
+    discard(profiles, cut, replies)
     rows = wanted.join(named.select("id", "node").distinct(), "id").select("key", "node").distinct()
 
     def sets(nodes: DataFrame) -> DataFrame:
@@ -299,7 +301,7 @@ def near_copies(listings: DataFrame, percent: int = 80, width: int = 5) -> DataF
         return chosen.mapInArrow(run, "node long, mark binary, body binary")
 
     compare = prepare_sketches, near_sketches(percent), similar(percent)
-    groups = linked_groups(rows, sets, *compare, read=lambda: discard(cut))
+    groups = linked_groups(rows, sets, *compare, read=lambda: discard(wanted))
     found = named.join(groups, "node", "left")
     # A listing whose id has several rows: all its rows are one listing.
     return found.select("id", "size", F.coalesce("component", "node").alias("component"))
