@@ -24,8 +24,9 @@ def fold_batch(known: dict | None, events: pd.DataFrame) -> dict | None:
     """State after one batch of a URL's recording attempts, ordered by (fetched_at, seq).
 
     An attempt older than the state's last fetch only counts: a late body cannot say
-    what the page holds now.
+    what the page holds now.  Headers that the attempts lack are null.
     """
+    events = events.assign(**{name: None for name in HEADERS if name not in events.columns})
     for event in events.sort_values(["fetched_us", "seq"]).itertuples(index=False):
         body, at = event.outcome == "ok", event.fetched_us
         if known is None:
