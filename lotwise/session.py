@@ -15,6 +15,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Whether the shuffle files of a query are removed when it ends.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: How saved tables are written.  Rows may hold whole blocks: pages and row groups are closed by their bytes, looked at
+#: after every row and not after a hundred, and zstd needs no buffers of a page's size outside the heap.
+SAVED_AS = {
+    "compression": "zstd",
+    "parquet.compression.codec.zstd.level": "1",
+    "parquet.block.size": str(16 << 20),
+    "parquet.page.size.row.check.min": "1",
+    "parquet.block.size.row.check.min": "1",
+}
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -50,7 +59,7 @@ def saved(rows: DataFrame) -> DataFrame:
     before = spark.conf.get(CLEANUP)
     spark.conf.set(CLEANUP, "true")
     try:
-        rows.write.parquet(path)
+        rows.write.options(**SAVED_AS).parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
     table = spark.read.schema(rows.schema).parquet(path)
