@@ -112,12 +112,14 @@ def linked_groups(
     tried = saved(stars.filter(F.col("a") < F.col("b")).distinct())
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """Linked pairs: the small marks are brought together first, and bodies for pairs that pass the bound."""
+        """Linked pairs, saved: the small marks are brought together first, and bodies for pairs that pass the bound."""
         second = np.array([1])
-        close = _passing(pairs, known, "mark", lambda x, y: bool(near(prepare([x, y]), 0, second)[0]))
-        return _passing(close, known, "body", linked)
+        close = saved(_passing(pairs, known, "mark", lambda x, y: bool(near(prepare([x, y]), 0, second)[0])))
+        passed = saved(_passing(close, known, "body", linked))
+        discard(close)
+        return passed
 
-    links = saved(verified(tried))
+    links = verified(tried)
     first = components(links)
 
     labelled = shared.select("key", "node", "bucket_items").join(first, "node", "left")

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from lotwise.llm import elsewhere
 from lotwise.llm.linking import linked_groups
-from lotwise.llm.wire import gives_back, pack_numbers, unpack_numbers, unpack_sorted
+from lotwise.llm.wire import gives_back, pack_numbers, pack_sorted, unpack_numbers, unpack_sorted
 from lotwise.session import discard, saved
 
 #: Text bytes, and bytes of signatures, after which a block is closed.
@@ -32,6 +32,8 @@ BLOCK_SIGNATURES = 256 << 10
 #: Buckets of the signature range for each shuffle partition.
 BUCKETS_PER_PARTITION = 2
 SIGNATURE_BITS = 48
+#: Bits of a shingle's hash by which two sets are compared in the end.
+COMPARED_BITS = 48
 #: Word hashes that a worker remembers.
 MOST_WORDS = 200_000
 SECOND_LEVEL = 3
@@ -246,9 +248,14 @@ def near_sketches(percent: int):
     return near
 
 
+def body(shingles: np.ndarray) -> bytes:
+    """The set as it is compared in full: the upper bits of its hashes, ascending."""
+    return pack_sorted(np.unique(shingles >> np.uint64(64 - COMPARED_BITS)))
+
+
 def similar(percent: int):
     def linked(a: bytes, b: bytes) -> bool:
-        left, right = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
+        left, right = unpack_sorted(a), unpack_sorted(b)
         if 100 * min(len(left), len(right)) < percent * max(len(left), len(right)):
             return False
         common = len(np.intersect1d(left, right, assume_unique=True))
@@ -266,7 +273,7 @@ def near_copies(listings: DataFrame, percent: int = 80, width: int = 5) -> DataF
     description has size 0 and is linked with nothing, not even with another such.  One row per input row; rows
     with a null id are left out, equal ids count as one listing, other columns are not read.
 
-    Shingles are compared by 64-bit hashes.
+    Sets are told equal by 64-bit hashes of their shingles, and compared by the upper 48 bits of those.
     """
     texts = listings.filter(F.col("id").isNotNull()).select(
         F.col("id").cast("long").alias("id"), F.col("description").cast("string").alias("description")
@@ -294,7 +301,7 @@ def near_copies(listings: DataFrame, percent: int = 80, width: int = 5) -> DataF
             for batch in batches:
                 found = [shingle_set(text.as_py(), hashes, width) for text in batch.column(1)]
                 marks = pa.array([sketch(x) for x in found], pa.binary())
-                bodies = pa.array([x.tobytes() for x in found], pa.binary())
+                bodies = pa.array([body(x) for x in found], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(0), marks, bodies], names=["node", "mark", "body"])
 
         chosen = texts.join(nodes.withColumnRenamed("node", "id"), "id", "left_semi")
