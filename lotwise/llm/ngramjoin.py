@@ -221,11 +221,11 @@ def _shared(blocks: pa.Table, replies: pa.Table) -> pa.Table:
 
 
 def sketch(shingles: np.ndarray) -> bytes:
-    """The set's size and a bitmap with the parity of its shingles per bit, about eight bits a shingle.
+    """The set's size and a bitmap with the parity of its shingles per bit, one or two bits a shingle.
 
     The bits in which two sets' bitmaps differ are at most as many as the shingles in which they do.
     """
-    bits = max(64, 1 << int(8 * len(shingles) - 1).bit_length())
+    bits = max(64, 1 << (len(shingles) - 1).bit_length())
     place = mixed(shingles * M3 + M1) & np.uint64(bits - 1)
     odd = np.bincount(place.astype(np.int64), minlength=bits) & 1
     return np.array([len(shingles)], "<i8").tobytes() + np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
