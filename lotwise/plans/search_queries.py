@@ -8,7 +8,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotwise.operators import search, search_index, status, textsearch
+from lotwise.operators import kept_counts, search, search_index, status, textsearch
 from lotwise.operators.search import Page, SearchQuery
 from lotwise.plans.catalogue import ORACLES, query
 from lotwise.plans.relations import (
@@ -24,6 +24,7 @@ from lotwise.plans.relations import (
     stamp_sql,
     table,
 )
+from lotwise.schemas import RETENTION_DAYS
 from lotwise.session import checkpoint_root, saved
 
 L = given(listings=LISTINGS)
@@ -271,6 +272,58 @@ def count_published(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.count_listings(listings(spark, sf_dir), published=True)
 
 
+#: Listings once the clock has moved their status and unpublished the old ones.
+UPKEPT = f"""{L.rstrip()}, advanced AS (SELECT * REPLACE (CASE WHEN (status IN ('upcoming','live') AND auction_end_at < {NOW})
+    OR ((status = 'live' OR (status = 'upcoming' AND auction_start_at <= {NOW})) AND auction_end_at IS NULL
+    AND auction_start_at < {NOW} - INTERVAL '1' DAY) THEN 'closed'
+    WHEN status = 'upcoming' AND auction_start_at <= {NOW} THEN 'live' ELSE status END AS status) FROM listings),
+  upkept AS (SELECT * REPLACE (is_published AND NOT coalesce(status = 'closed'
+    AND auction_start_at < {NOW} - INTERVAL '{RETENTION_DAYS}' DAY, false) AS is_published) FROM advanced) """
+
+
+def _upkept_facets_sql(parts: dict[str, str]) -> str:
+    told = _facets_sql("is_published", parts).removeprefix(f"{L} ")
+    return UPKEPT + told.replace("FROM listings WHERE", "FROM upkept WHERE")
+
+
+def _counts_kept(spark: SparkSession, sf_dir: str) -> str:
+    """Counts after listings came in two batches, had their status moved by the clock and were unpublished by age."""
+    path = f"{checkpoint_root(spark)}/counts-{uuid.uuid4().hex}"
+    names = ["id", "is_published", "auction_start_at", "auction_end_at", *search.FACET_COLUMNS.values()]
+    rows = saved(listings(spark, sf_dir).select(*names))
+    none = rows.filter("false")
+    kept_counts.add_batch(none, rows.filter("id % 3 > 0"), path, 0)
+    kept_counts.add_batch(none, rows.filter("id % 3 = 0"), path, 1)
+    moved = status.advance_statuses(rows, clock()).drop("became_live", "became_closed")
+    kept_counts.add_batch(rows, moved, path, 2)
+    kept_counts.add_batch(moved, status.expire_old(moved, clock()).drop("expired"), path, 3)
+    return path
+
+
+@query("d2_facets_kept", _upkept_facets_sql({}))
+def facets_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kept_counts.facets(spark, _counts_kept(spark, sf_dir), SearchQuery())
+
+
+@query("d2_facets_kept_one_chosen", _upkept_facets_sql({"state": "state = 'INDIA'"}))
+def facets_kept_one_chosen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kept_counts.facets(spark, _counts_kept(spark, sf_dir), SearchQuery(state="INDIA"))
+
+
+@query(
+    "d3_totals_kept",
+    f"""{UPKEPT} SELECT count(*) AS listings, count(DISTINCT state) AS states, count(DISTINCT bank_name) AS banks
+    FROM upkept WHERE is_published""",
+)
+def totals_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kept_counts.totals(spark, _counts_kept(spark, sf_dir))
+
+
+@query("d5_count_by_kept", f"{UPKEPT} SELECT status AS value, count(*) AS n FROM upkept WHERE status IS NOT NULL GROUP BY 1")
+def count_by_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kept_counts.count_by(spark, _counts_kept(spark, sf_dir), "status")
+
+
 @query(
     "d11_stale_statuses",
     f"""{L} SELECT count(*) AS stale FROM listings WHERE (status = 'upcoming' AND auction_start_at <= {NOW})
